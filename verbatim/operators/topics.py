@@ -7,65 +7,82 @@ for that; raise ``min_docs`` to leave out rare terms on purpose.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from verbatim.operators.stats import freq_polygon
 from verbatim.operators.topn import top_n
-from verbatim.sources.readers import shared_folder
+from verbatim.sources.readers import scratch_path, shared_folder
 
 MAX_TERMS = 2_000_000
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted model, its vocabulary in index order, and the vectors it was fitted on."""
+    """A fitted model, its (i, term) vocabulary and size, and the vectors it was fitted on."""
 
     model: LDAModel
-    vocabulary: list[str]
+    vocabulary: DataFrame
+    terms: int
     vectors: DataFrame
     document: str
 
 
+@dataclass(frozen=True)
+class DocumentVectors:
+    """(document, features) sparse counts and the (i, term) vocabulary behind them."""
+
+    vectors: DataFrame
+    vocabulary: DataFrame
+    terms: int
+    document: str
+
+
 def document_vectors(docs: DataFrame, document: str, words: str = "words", min_docs: int = 1, binary: bool = False,
-                     max_terms: int = MAX_TERMS) -> tuple[DataFrame, list[str]]:
-    """(document, features) with one sparse count vector per row, and the vocabulary."""
+                     max_terms: int = MAX_TERMS) -> DocumentVectors:
+    """One sparse count vector per row over all terms of at least ``min_docs`` rows."""
+    spark = docs.sparkSession
     seen = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     size = seen.where(F.col("n") >= min_docs).count()
     if size > max_terms:
         raise ValueError(f"{size} terms exceed {max_terms}: raise min_docs or max_terms")
     fitted = CountVectorizer(inputCol=words, outputCol="features", vocabSize=max(size, 1), minDF=float(min_docs), binary=binary).fit(docs)
-    return fitted.transform(docs).select(document, "features"), fitted.vocabulary
+    # The saved model holds the terms as a table, which spares fetching them one by one.
+    path = scratch_path(spark, "vocabulary")
+    fitted.save(path)
+    vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "term"))
+    return DocumentVectors(fitted.transform(docs).select(document, "features"), vocabulary, size, document)
 
 
-def grouped_vectors(vectors: DataFrame, group: str, features: str = "features") -> DataFrame:
-    """Sum of the vectors of each group, combined partially in every task."""
-    return vectors.groupBy(group).agg(Summarizer.sum(F.col(features)).alias(features))
+def grouped_vectors(docs: DocumentVectors, features: str = "features") -> DocumentVectors:
+    """Sparse sum of the vectors of each document key, combined partially in every task."""
+    sums = docs.vectors.groupBy(docs.document).agg(Summarizer.sum(F.col(features)).alias("_sum"))
+    tasks = docs.vectors.sparkSession.sparkContext.defaultParallelism  # few rows, much work each
+    sums = sums.repartition(tasks, docs.document)
+    summed = VectorAssembler(inputCols=["_sum"], outputCol=features).transform(sums).select(docs.document, features)
+    return replace(docs, vectors=summed)
 
 
-def fit_topics(vectors: DataFrame, vocabulary: list[str], document: str, k: int, seed: int = 1234, iterations: int = 10,
-               subsampling: float = 1.0) -> TopicModel:
+def fit_topics(docs: DocumentVectors, k: int, seed: int = 1234, iterations: int = 10, subsampling: float = 1.0) -> TopicModel:
     """Fit ``k`` topics; every iteration sees all documents unless ``subsampling`` is lowered."""
-    shared_folder(vectors.sparkSession)
-    vectors = vectors.checkpoint()  # every iteration reads the vectors, not the texts
+    shared_folder(docs.vectors.sparkSession)
+    vectors = docs.vectors.checkpoint()  # every iteration reads the vectors, not the texts
     lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=subsampling, featuresCol="features")
-    return TopicModel(lda.fit(vectors), vocabulary, vectors, document)
+    return TopicModel(lda.fit(vectors), docs.vocabulary, docs.terms, vectors, docs.document)
 
 
 def topic_terms_beta(fit: TopicModel) -> DataFrame:
     """(topic, term, beta): probability of each term in each topic."""
-    spark = fit.vectors.sparkSession
-    pairs = fit.model.describeTopics(len(fit.vocabulary)).select(
+    pairs = fit.model.describeTopics(fit.terms).select(
         (F.col("topic") + 1).alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")
     )
-    index = spark.createDataFrame(list(enumerate(fit.vocabulary)), "i int, term string")
     rows = pairs.select("topic", F.col("p.termIndices").alias("i"), F.col("p.termWeights").alias("beta"))
-    return rows.join(index, "i").select("topic", "term", "beta")
+    return rows.join(fit.vocabulary, "i").select("topic", "term", "beta")
 
 
 def doc_topics_gamma(fit: TopicModel) -> DataFrame:

@@ -207,8 +207,8 @@ def boxplot_outliers(spark, sf):
     frame AS (SELECT avg(CASE WHEN size > 1 THEN 0.9::DOUBLE * coalesce(nullif(least(sd, iqr), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
       * pow(size, -0.2::DOUBLE) END) AS bw, min(lo) AS lo, max(hi) AS hi FROM grp),
     grid AS (SELECT unnest(range(0, 512)) AS point),
-    at AS (SELECT point, bw, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS x FROM grid, frame),
-    kern AS (SELECT segment_name, device, point, x, bw, sum(c * exp(-0.5::DOUBLE * ((x - v) / bw) * ((x - v) / bw))) AS k FROM freq, at GROUP BY ALL)
+    pts AS (SELECT point, bw, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS x FROM grid, frame),
+    kern AS (SELECT segment_name, device, point, x, bw, sum(c * exp(-0.5::DOUBLE * ((x - v) / bw) * ((x - v) / bw))) AS k FROM freq, pts GROUP BY ALL)
     SELECT segment_name, device, point, round(x, 4) AS x, round(k / (size * bw * sqrt(2 * pi())), 6) AS density
     FROM kern JOIN grp USING (segment_name, device) WHERE size >= 3""",
 )

@@ -18,15 +18,14 @@ def _word_arrays(spark, sf, *keep):
 @lru_cache(maxsize=4)
 def _per_response(spark, sf):
     """Two topics with one document per response."""
-    vectors, vocabulary = tp.document_vectors(_word_arrays(spark, sf, "doc_id"), "doc_id")
-    return tp.fit_topics(vectors, vocabulary, "doc_id", k=2)
+    return tp.fit_topics(tp.document_vectors(_word_arrays(spark, sf, "doc_id"), "doc_id"), k=2)
 
 
 @lru_cache(maxsize=4)
 def _per_section(spark, sf):
     """Four topics with one document per source."""
-    vectors, vocabulary = tp.document_vectors(_word_arrays(spark, sf, "source"), "source")
-    return tp.fit_topics(tp.grouped_vectors(vectors, "source"), vocabulary, "source", k=4)
+    docs = tp.document_vectors(_word_arrays(spark, sf, "source"), "source")
+    return tp.fit_topics(tp.grouped_vectors(docs), k=4, iterations=5)
 
 
 @query("fit_lda")
