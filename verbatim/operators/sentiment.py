@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verbatim.functions import numeric as num, text as tx
 from verbatim.operators.keyed import attach, names
-from verbatim.operators.reshape import pivot_counts
 from verbatim.operators.topn import top_n
 from verbatim.sources.lexicons import checked_literal
 
@@ -106,15 +105,21 @@ def sum_by(df: DataFrame, value: str, *by: str, out: str = "total") -> DataFrame
 
 
 def segment_polarity(polar_counts: DataFrame, segment: str = "segment", fill: int | None = None) -> DataFrame:
-    """Rows of the polar count table per sentiment, their difference and its ratio."""
-    wide = pivot_counts(polar_counts, segment, "sentiment", ["positive", "negative"], n=None, fill=fill)
+    """Rows of the polar count table per sentiment, their difference and its ratio.
+
+    A side without rows is null, or ``fill``. The rows are counted through n, so
+    that a plan which also uses the counts shares their shuffle.
+    """
+    wide = polar_counts.groupBy(segment).pivot("sentiment", ["positive", "negative"]).agg(F.count_if(F.col("n") > 0))
+    if fill is not None:
+        wide = wide.fillna(fill, subset=["positive", "negative"])
     wide = wide.withColumn("polarity", F.col("positive") - F.col("negative"))
     return wide.withColumn("ratio", num.ratio("polarity", F.col("positive") + F.col("negative")))
 
 
 def attach_segment_polarity(counts: DataFrame, polarity: DataFrame, segment: str = "segment") -> DataFrame:
-    """Word counts next to the polarity of their segment, with a sign label."""
-    rows = attach(counts, polarity, segment, "left")
+    """Word counts next to the polarity of their segment, with a sign label; a null word drops out."""
+    rows = attach(counts.where(F.col("word").isNotNull()), polarity, segment, "left")
     return rows.withColumn("sentiment", num.sign_label("positive", "negative"))
 
 
@@ -124,8 +129,9 @@ def segment_polarity_bar(counts: DataFrame, polarity: DataFrame, segment: str =
     Rows are counted per segment before the join, which therefore joins one row
     per segment instead of every word row.
     """
-    rows = counts.groupBy(segment).agg(F.count("*").alias("_rows"))
-    joined = rows.join(polarity, segment, "left")
+    known = counts.where(F.col("word").isNotNull())
+    rows = known.groupBy(segment).agg(F.count_if(F.col("n") > 0).alias("_rows"))
+    joined = attach(rows, polarity, segment, "left")
     return joined.select(
         segment, num.sign_label("positive", "negative").alias("sentiment"), (F.col("polarity") * F.col("_rows")).alias("polarity")
     )

@@ -60,28 +60,32 @@ def histogram_fixed(df: DataFrame, value: str, width: float = 5, by: str | Seque
     return known.groupBy(*names(by), num.bin_centre(value, width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _frame(df: DataFrame, value: str, bins: int) -> tuple[Column, Column]:
-    """Lowest value and bin width over all rows, as one scalar subquery."""
-    edges = df.agg(F.struct(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))).scalar()
-    low = edges.getField("low")
-    return low, (edges.getField("high") - low) / F.lit(float(bins - 1))
-
-
-def freq_polygon(df: DataFrame, value: str, by: str, bins: int = 30, density: bool = False) -> DataFrame:
+def freq_polygon(df: DataFrame, value: str, by: str, bins: int = 30, density: bool = False, few_values: bool = True) -> DataFrame:
     """Counts per group in ``bins`` equal bins over the common range, empty bins included.
 
-    With ``density`` also count / (group total * width).
+    With ``density`` also count / (group total * width). Few distinct values are
+    counted first, and range and bins are read from those counts; with
+    ``few_values=False`` (continuous values) the rows are read twice instead.
     """
-    low, width = _frame(df, value, bins)
-    known = df.where(F.col(value).isNotNull())
-    cells = known.groupBy(by, num.bin_index(value, low, width).alias("bin")).agg(F.count("*").alias("n"))
-    groups = cells.groupBy(by).agg(F.sum("n").alias("_total"))
-    grid = groups.select(by, "_total", F.explode(steps(bins)).alias("bin"))
-    filled = grid.join(cells, [by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    n = F.col("_n")
+    if few_values:
+        rows = value_counts(df, value, by)
+        x = F.when(n > 0, F.col(value)).cast("double")  # reads the count, so that the counted shuffle is shared
+    else:
+        rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("long"))
+        x = F.col(value).cast("double")
+    edges = rows.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
+    low = edges.getField("low")
+    width = (edges.getField("high") - low) / F.lit(float(bins - 1))
+    cells = rows.groupBy(by, num.bin_index(value, low, width).alias("bin")).agg(F.sum(n).alias("n"))
+    # at most ``bins`` cells per group
+    groups = cells.groupBy(by).agg(F.sum("n").alias("_total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_cells"))
+    filled = groups.select("*", F.explode(steps(bins)).alias("bin"))
+    filled = filled.withColumn("n", F.coalesce(F.try_element_at("_cells", F.col("bin")), F.lit(0).cast("long")))
     filled = filled.withColumn("centre", low + F.col("bin") * width)
     if density:
         filled = filled.withColumn("density", F.col("n") / F.nullif(F.col("_total") * width, F.lit(0.0)))
-    return filled.drop("_total")
+    return filled.drop("_total", "_cells")
 
 
 def _fenced(df: DataFrame, value: str, by: list[str], coef: float) -> DataFrame:

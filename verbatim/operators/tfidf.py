@@ -23,9 +23,12 @@ def tf_idf(counts: DataFrame, term: str, document: str, n: str = "n", dedupe: bo
     cells = counts.groupBy(term, document).agg(F.sum(n).alias(n), F.count("*").alias("_rows"))
     if dedupe:
         cells = cells.withColumn("_rows", F.lit(1).cast("long"))
-    totals = cells.where(F.col(document).isNotNull()).groupBy(document).agg(F.sum(F.col(n) * F.col("_rows")).alias("_total"))
-    spread = cells.groupBy(term).agg(F.sum("_rows").alias("_term_rows"))
-    documents = totals.agg(F.count("*")).scalar()
+    # Every branch reads all columns of the cells, so that all share one shuffle of
+    # them and the texts are tokenised once: no filter on the key, no unused count.
+    in_document = F.when(F.col(document).isNotNull(), F.sum(F.col(n) * F.col("_rows")))
+    totals = cells.groupBy(document).agg(in_document.alias("_total"))
+    spread = cells.groupBy(term).agg(F.sum(F.when(F.col(n).isNotNull(), F.col("_rows"))).alias("_term_rows"))
+    documents = totals.agg(F.count("_total")).scalar()
     out = attach(attach(cells, totals, document, "left"), spread, term)
     out = out.withColumn("tf", F.col(n) / F.col("_total"))
     out = out.withColumn("idf", F.ln(documents.cast("double") / F.col("_term_rows")))

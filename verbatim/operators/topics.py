@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from verbatim.operators.keyed import attach
 from verbatim.operators.stats import freq_polygon
 from verbatim.operators.topn import top_n
 from verbatim.sources.readers import scratch_path, shared_folder
@@ -104,7 +105,7 @@ def topic_prevalence(gamma: DataFrame) -> DataFrame:
 
 def gamma_histogram(gamma: DataFrame, bins: int = 30) -> DataFrame:
     """Documents per topic and bin of the topic's share."""
-    return freq_polygon(gamma, "gamma", "topic", bins)
+    return freq_polygon(gamma, "gamma", "topic", bins, few_values=False)
 
 
 def frex_scores(beta: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -116,7 +117,7 @@ def frex_scores(beta: DataFrame, weight: float = 0.5) -> DataFrame:
     # one value per topic, added in sorted order so that the sum is reproducible
     values = F.array_sort(F.collect_list("beta"))
     sums = beta.groupBy("term").agg(F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("_all"))
-    rows = beta.join(sums, "term").withColumn("_ex", F.col("beta") / F.nullif(F.col("_all"), F.lit(0.0)))
+    rows = attach(beta, sums, "term").withColumn("_ex", F.col("beta") / F.nullif(F.col("_all"), F.lit(0.0)))
     frequency = F.cume_dist().over(Window.partitionBy("topic").orderBy("beta"))
     exclusivity = F.cume_dist().over(Window.partitionBy("topic").orderBy("_ex"))
     frex = 1.0 / ((1.0 - weight) / frequency + weight / exclusivity)

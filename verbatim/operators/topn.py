@@ -64,6 +64,8 @@ def collapse_repeated_labels(df: DataFrame, group: str, order: Sequence[str]) ->
 
     The first row is a partial aggregate (minimum of the order columns), not a window.
     """
-    firsts = df.groupBy(group).agg(F.min(F.struct(*order)).alias("_first"))
-    label = F.when(F.struct(*order) == F.col("_first"), F.col(group)).otherwise("")
+    rest = [c for c in df.columns if c != group and c not in order]  # read as well, so that both uses of df share a shuffle
+    firsts = df.groupBy(group).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    is_first = F.struct(*order).eqNullSafe(F.struct(*[F.col("_first").getField(c).alias(c) for c in order]))
+    label = F.when(is_first, F.col(group)).otherwise("")
     return attach(df, firsts, group).withColumn("_label", label).withColumn(group, F.col("_label")).drop("_first", "_label")

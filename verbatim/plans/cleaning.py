@@ -178,13 +178,15 @@ def filter_min_count(spark, sf):
 
 @query(
     "filter_word_count",
-    """SELECT doc_id, word_count, CASE WHEN word_count > 1 THEN 'many' WHEN word_count < 2 THEN 'one' END AS kind FROM survey
-    WHERE word_count > 1 OR word_count < 2""",
+    "SELECT doc_id, word_count FROM survey WHERE word_count > 1",
 )
 def filter_word_count(spark, sf):
-    docs = surveys(spark, sf).select("doc_id", "word_count")
-    many = cl.filter_word_count(docs, more_than=1).withColumn("kind", F.lit("many"))
-    return many.unionByName(cl.filter_word_count(docs, less_than=2).withColumn("kind", F.lit("one")))
+    return cl.filter_word_count(surveys(spark, sf).select("doc_id", "word_count"), more_than=1)
+
+
+@query("filter_word_count_single", "SELECT doc_id, word_count FROM survey WHERE word_count < 2")
+def filter_word_count_single(spark, sf):
+    return cl.filter_word_count(surveys(spark, sf).select("doc_id", "word_count"), less_than=2)
 
 
 @query("count_literal_answers", "SELECT count(*) AS n FROM part WHERE p_name IN ('small ring', 'large ring', 'Small ring')")

@@ -157,7 +157,8 @@ _SIGN = "CASE WHEN positive > negative THEN 'positive' WHEN positive <= negative
 
 @query("attach_segment_polarity", f"SELECT word, segment, device, n, positive, negative, polarity, ratio, {_SIGN} FROM {_ROWS} LEFT JOIN segpolarity USING (segment)")
 def attach_segment_polarity(spark, sf):
-    return sn.attach_segment_polarity(_word_counts(spark, sf), segment_polarity(spark, sf))
+    counts = _word_counts(spark, sf)
+    return sn.attach_segment_polarity(counts, sn.segment_polarity(sn.join_polarity(counts, polarity(spark))))
 
 
 @query(
@@ -165,7 +166,8 @@ def attach_segment_polarity(spark, sf):
     f"SELECT segment, {_SIGN}, sum(polarity)::BIGINT AS polarity FROM {_ROWS} LEFT JOIN segpolarity USING (segment) GROUP BY ALL",
 )
 def segment_polarity_bar(spark, sf):
-    return sn.segment_polarity_bar(_word_counts(spark, sf), segment_polarity(spark, sf))
+    counts = _word_counts(spark, sf)
+    return sn.segment_polarity_bar(counts, sn.segment_polarity(sn.join_polarity(counts, polarity(spark))))
 
 
 # --- sentences --------------------------------------------------------------
