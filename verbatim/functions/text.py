@@ -50,6 +50,21 @@ def ngram_array(words: Column | str, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array(F.lit(None).cast("string")))
 
 
+def only_lettered(words: Column | str, drop: Iterable[str]) -> Column:
+    """The words with those that hold no letter a-z, or are in the literal ``drop`` list, set to null."""
+    drop = sorted(set(drop))
+    return F.transform(_col(words), lambda w: F.when(w.rlike("[a-z]") & ~w.isin(drop), w))
+
+
+def known_pairs(words: Column | str) -> Column:
+    """(word1, word2) for each two adjacent words that are both not null."""
+    pairs = F.zip_with(
+        _col(words), F.slice(_col(words), F.lit(2), F.size(_col(words))),
+        lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("word1"), b.alias("word2"))),
+    )
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
 def sentence_array(text: Column | str) -> Column:
     """Trimmed non-blank sentences in text order, case kept."""
     pieces = F.transform(_extract_all(_col(text), SENTENCE), strip_blanks)

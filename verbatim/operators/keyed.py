@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,25 +19,28 @@ def names(by: str | Sequence[str] | None) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def attach(left: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def attach(left: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 1) -> DataFrame:
     """Join ``left`` with ``lookup`` (one row per key), null keys matching each other.
 
-    Rows of one key are spread over ``salts`` join keys by a hash of their other
-    columns and each lookup row is repeated that often, so a hot key never lands
-    in one task. Spark still broadcasts the lookup when it measures it as small.
+    Spark broadcasts the lookup when it measures it as small; otherwise it
+    shuffles both sides and splits a hot key's partition at run time. For
+    lookups with few keys (one per group) ``salts`` spreads each key as well:
+    rows go to ``salts`` join keys by a hash of their other columns, and each
+    lookup row is repeated that often.
     """
     on = names(on)
     rest = [c for c in left.columns if c not in on]
+    spread = salts > 1 and bool(rest)
     renamed = lookup.select(
         *[F.col(k).alias(f"_k_{k}") for k in on],
         *[c for c in lookup.columns if c not in on],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_r"),
+        *([F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_r")] if spread else []),
     )
-    salted = left.withColumn("_salt_l", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int") if rest else F.lit(0))
-    match = F.col("_salt_l") == F.col("_salt_r")
-    for k in on:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return salted.join(renamed, match, how).drop("_salt_l", "_salt_r", *[f"_k_{k}" for k in on])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on])
+    if spread:
+        left = left.withColumn("_salt_l", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+        match = match & (F.col("_salt_l") == F.col("_salt_r"))
+    return left.join(renamed, match, how).drop("_salt_l", "_salt_r", *[f"_k_{k}" for k in on])
 
 
 def group_sum_keep_rows(df: DataFrame, by: str | Sequence[str], value: str = "n") -> DataFrame:
@@ -91,7 +95,7 @@ def ordinals(df: DataFrame, order: Sequence[Column], by: str | Sequence[str] | N
     placed = fixed.join(starts, "_slot").withColumn("_pos", F.col("_start") + local)
     if by:
         firsts = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
-        placed = attach(placed, firsts, by)
+        placed = attach(placed, firsts, by, salts=SALTS)
     else:
         placed = placed.withColumn("_first", F.lit(0))
     return placed.withColumn(out, (F.col("_pos") - F.col("_first") + 1).cast("long")).select(*df.columns, out)

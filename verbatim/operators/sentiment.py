@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verbatim.functions import numeric as num, text as tx
-from verbatim.operators.keyed import attach, names
+from verbatim.operators.keyed import SALTS, attach, names
 from verbatim.operators.topn import top_n
 from verbatim.sources.lexicons import checked_literal
 
@@ -119,7 +119,7 @@ def segment_polarity(polar_counts: DataFrame, segment: str = "segment", fill: in
 
 def attach_segment_polarity(counts: DataFrame, polarity: DataFrame, segment: str = "segment") -> DataFrame:
     """Word counts next to the polarity of their segment, with a sign label; a null word drops out."""
-    rows = attach(counts.where(F.col("word").isNotNull()), polarity, segment, "left")
+    rows = attach(counts.where(F.col("word").isNotNull()), polarity, segment, "left", SALTS)
     return rows.withColumn("sentiment", num.sign_label("positive", "negative"))
 
 

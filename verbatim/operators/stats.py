@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verbatim.functions import numeric as num
-from verbatim.operators.keyed import attach, names
+from verbatim.operators.keyed import SALTS, attach, names
 
 
 def steps(n: int) -> Column:
@@ -95,7 +95,7 @@ def _fenced(df: DataFrame, value: str, by: list[str], coef: float) -> DataFrame:
     quartiles = counted.groupBy(*by).agg(F.percentile(value, at, F.col("_n")).alias("_q"))
     quartiles = quartiles.select(*by, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("middle"), F.col("_q")[2].alias("upper"))
     reach = coef * (F.col("upper") - F.col("lower"))
-    rows = attach(counted, quartiles, by)
+    rows = attach(counted, quartiles, by, salts=SALTS)
     inside = (F.col(value) >= F.col("lower") - reach) & (F.col(value) <= F.col("upper") + reach)
     return rows.withColumn("_inside", inside)
 
@@ -145,12 +145,12 @@ def density_ridges(df: DataFrame, value: str, by: str | Sequence[str], points: i
     start = frame.getField("low") - 3 * bw
     step = (frame.getField("high") + 3 * bw - start) / (points - 1)
     at = counted.withColumn("point", F.explode(steps(points)))
-    at = at.withColumn("x", start + F.col("point") * step)
-    z = (F.col("x") - x) / bw
-    kernels = at.groupBy(*by, "point", "x").agg(F.sum(n * F.exp(-0.5 * z * z)).alias("_k"))
+    at = at.withColumn("_at", start + F.col("point") * step)
+    z = (F.col("_at") - x) / bw
+    kernels = at.groupBy(*by, "point", "_at").agg(F.sum(n * F.exp(-0.5 * z * z)).alias("_k"))
     out = attach(kernels, groups.select(*by, "_size"), by)
     density = F.col("_k") / (F.col("_size") * bw * math.sqrt(2 * math.pi))
-    return out.where(F.col("_size") >= 3).select(*by, "point", "x", density.alias("density"))
+    return out.where(F.col("_size") >= 3).select(*by, "point", F.col("_at").alias("x"), density.alias("density"))
 
 
 def global_reference_lines(df: DataFrame, value: str) -> DataFrame:

@@ -96,3 +96,14 @@ def bigrams_without_stop_parts(bigrams: DataFrame, stop_words: DataFrame, bigram
     parts = bigrams.withColumns({"first": F.get(halves, 0), "second": F.get(halves, 1)})
     parts = parts.where(F.col("first").rlike("[a-z]") & F.col("second").rlike("[a-z]"))
     return remove_stop_words(remove_stop_words(parts, stop_words, "first"), stop_words, "second")
+
+
+def pairs_without_stop_parts(df: DataFrame, text: str, stop_words: Iterable[str]) -> DataFrame:
+    """The same pairs as (word1, word2) rows from the text, for a literal stop list.
+
+    Pairs are dropped inside the word array, before any row is made of them.
+    """
+    words = with_word_array(df, text, "_words")
+    words = words.withColumn("_words", tx.only_lettered("_words", checked_literal(stop_words)))
+    carried = [c for c in words.columns if c != "_words"]
+    return words.select(*carried, F.inline(tx.known_pairs("_words")))

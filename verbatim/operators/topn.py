@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verbatim.operators.keyed import attach, names, ordinals
+from verbatim.operators.keyed import SALTS, attach, names, ordinals
 
 
 def top_n(df: DataFrame, k: int, weight: str, by: str | Sequence[str] | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def top_n(df: DataFrame, k: int, weight: str, by: str | Sequence[str] | None = N
     above = F.sum("_rows").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
     levels = levels.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < k)
     cuts = levels.groupBy(*by).agg(F.min(weight).alias("_cut"))
-    return attach(df, cuts, by).where(F.col(weight) >= F.col("_cut")).drop("_cut")
+    return attach(df, cuts, by, salts=SALTS).where(F.col(weight) >= F.col("_cut")).drop("_cut")
 
 
 def top_n_exact(df: DataFrame, k: int, term: str, n: str = "n") -> DataFrame:
@@ -68,4 +68,4 @@ def collapse_repeated_labels(df: DataFrame, group: str, order: Sequence[str]) ->
     firsts = df.groupBy(group).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     is_first = F.struct(*order).eqNullSafe(F.struct(*[F.col("_first").getField(c).alias(c) for c in order]))
     label = F.when(is_first, F.col(group)).otherwise("")
-    return attach(df, firsts, group).withColumn("_label", label).withColumn(group, F.col("_label")).drop("_first", "_label")
+    return attach(df, firsts, group, salts=SALTS).withColumn("_label", label).withColumn(group, F.col("_label")).drop("_first", "_label")

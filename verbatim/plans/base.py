@@ -10,7 +10,7 @@ from verbatim.functions import text as tx
 from verbatim.operators.sentiment import Shifters
 from verbatim.operators.tokens import word_tokens
 from verbatim.sources import lexicons as lx
-from verbatim.sources.readers import scan
+from verbatim.sources.readers import scan, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +61,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # --- Spark inputs -----------------------------------------------------------
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    return scan(spark, f"{sf}/{name}.parquet", columns)
+    df = scan(spark, f"{sf}/{name}.parquet", columns)
+    return spread(df) if "text" in columns else df
 
 
 def surveys(spark: SparkSession, sf: str) -> DataFrame:

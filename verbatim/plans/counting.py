@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbatim.functions import text as tx
 from verbatim.operators import clean as cl, contrast as cn, counts as ct, keyed, network as nw, tfidf as ti, tokens as tk, topn as tn
-from verbatim.plans.base import ENGLISH, TARGETS, polarity, query, role_tokens, rounded, stop_frame, surveys, table, tokens
+from verbatim.plans.base import ENGLISH, TARGETS, polarity, query, role_tokens, rounded, surveys, table, tokens
 from verbatim.operators.sentiment import polarity_word_counts
 
 
@@ -230,9 +230,7 @@ def top_tf_idf_by_group(spark, sf):
 def _pairs(spark, sf):
     """Counted bigrams per segment with no stop word in either half."""
     docs = surveys(spark, sf).select("segment", "text")
-    bigrams = tk.ngrams(docs, "text", 2, out="bigram", keep_short=False)
-    kept = tk.bigrams_without_stop_parts(bigrams, stop_frame(spark))
-    return ct.count_by(kept.select(F.col("first").alias("word1"), F.col("second").alias("word2"), "segment"), "word1", "word2", "segment")
+    return ct.count_by(tk.pairs_without_stop_parts(docs, "text", ENGLISH), "word1", "word2", "segment")
 
 
 @query("bigram_pair_counts", "SELECT word1, word2, count(*) AS n FROM pairs GROUP BY ALL")

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from verbatim.operators import counts as ct, tokens as tk, topics as tp
-from verbatim.operators.keyed import attach
+from verbatim.operators.keyed import SALTS, attach
 from verbatim.plans.base import ENGLISH, query, rounded, table, tokens
 
 
@@ -71,7 +71,7 @@ beta AS (SELECT topic, term, n / CAST(sum(n) OVER (PARTITION BY topic) AS DOUBLE
 def _language_beta(spark, sf):
     counts = ct.count_by(tokens(spark, sf, "lang"), "lang", "word")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return attach(counts, totals, "lang").select(
+    return attach(counts, totals, "lang", salts=SALTS).select(
         F.col("lang").alias("topic"), F.col("word").alias("term"), (F.col("n") / F.col("total")).alias("beta")
     )
 

@@ -20,6 +20,17 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, f
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer scan partitions than cores out to all cores.
+
+    Text work is heavy per byte, and a small file arrives in one or two tasks.
+    The number of scan partitions bounds the size of what is dealt out; a table
+    with enough partitions is returned as it is and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Read a catalog table."""
     df = spark.table(name)
