@@ -99,7 +99,7 @@ def squeeze_blanks(text: Column | str) -> Column:
 
 
 def strip_blanks(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", "")
+    return F.btrim(_col(text), F.lit(" \t\n\f\r"))
 
 
 def strip_reply_prefix(text: Column | str) -> Column:

@@ -47,7 +47,8 @@ def group_sum_keep_rows(df: DataFrame, by: str | Sequence[str], value: str = "n"
     """Replace ``value`` by its sum over the group, keeping every row."""
     by = names(by)
     sums = df.groupBy(*by).agg(F.sum(value).alias("_sum"))
-    return attach(df, sums, by).withColumn(value, F.col("_sum")).drop("_sum")
+    # reading the value itself lets both sides share the shuffle behind df
+    return attach(df, sums, by).withColumn(value, F.coalesce(F.col("_sum"), F.col(value))).drop("_sum")
 
 
 def add_row_id(df: DataFrame, key: str, out: str = "row_id", slots: int | None = None) -> DataFrame:

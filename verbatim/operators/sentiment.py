@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verbatim.functions import numeric as num, text as tx
 from verbatim.operators.keyed import SALTS, attach, names
 from verbatim.operators.topn import top_n
-from verbatim.sources.lexicons import checked_literal
+from verbatim.sources.lexicons import checked_literal, few_words
 
 # Weights and reach of the sentence score.
 SHIFT_WEIGHT = 0.8
@@ -148,12 +148,18 @@ class Shifters:
     deamplifiers: Sequence[str] = field(default_factory=tuple)
     adversatives: Sequence[str] = field(default_factory=tuple)
 
+    def by_code(self) -> dict[str, list[str]]:
+        """The lists by a one-letter code; a word must not be in two of them."""
+        lists = {"n": self.negators, "a": self.amplifiers, "d": self.deamplifiers, "b": self.adversatives}
+        coded = {code: checked_literal(words) for code, words in lists.items()}
+        if len({w for words in coded.values() for w in words}) < sum(map(len, coded.values())):
+            raise ValueError("a word is in two shifter lists")
+        return coded
 
-def _hits(words: Column, listed: Sequence[str]) -> Column:
-    listed = checked_literal(listed)
-    if not listed:
-        return F.lit(0)
-    return F.size(F.filter(words, lambda w: w.isin(listed)))
+
+def _count(codes: Column, code: str) -> Column:
+    """How often a code letter occurs in a string of codes."""
+    return F.char_length(F.translate(codes, ".nadb".replace(code, ""), "")).cast("double")
 
 
 def split_sentences(responses: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -166,43 +172,53 @@ def split_sentences(responses: DataFrame, row_id: str, text: str) -> DataFrame:
 def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: DataFrame, shifters: Shifters) -> DataFrame:
     """(row_id, sentence_id, word_count, sentiment) for each sentence.
 
-    ``polarity`` is (word, weight). Each word leaves its sentence with the five
-    words before and two words after it in the same clause, so the neighbourhood
-    needs no window and no shuffle of tokens; the lexicon join keeps the polar
-    words only and their small sums are the one thing shuffled by sentence.
+    ``polarity`` is (word, weight). A clause is written as a string with one code
+    letter per word, and each word leaves its sentence with the codes of the five
+    words before and the two words after it. The neighbourhood thus needs no
+    window and no shuffle of tokens; the lexicon join keeps the polar words only
+    and their small sums are the one thing shuffled by sentence. Words of a small
+    lexicon are found inside the clause already, before any row is made of them.
     """
+    coded = shifters.by_code()
+    listed = few_words(polarity)  # None for a lexicon too large for the plan: then the join alone finds polar words
     split = split_sentences(responses, row_id, text)
 
-    def with_context(clause: Column) -> Column:
+    def code_of(word: Column) -> Column:
+        return F.coalesce(*[F.when(word.isin(words), code) for code, words in coded.items() if words], F.lit("."))
+
+    def with_context(clause: Column, codes: Column) -> Column:
         def around(word: Column, i: Column) -> Column:
             first = F.greatest(i - WORDS_BEFORE, F.lit(0))
-            return F.struct(
-                word.alias("word"),
-                F.slice(clause, first + 1, i - first).alias("before"),
-                F.slice(clause, i + 2, WORDS_AFTER).alias("after"),
-            )
+            before, after = F.substring(codes, first + 1, i - first), F.substring(codes, i + 2, F.lit(WORDS_AFTER))
+            near = F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
+            return near if listed is None else F.when(word.isin(listed), near)
+
+        found = F.transform(clause, around)
+        return found if listed is None else F.filter(found, lambda c: c.isNotNull())
 
-        return F.transform(clause, around)
+    def codes_of(clause: Column) -> Column:
+        codes = F.array_join(F.transform(clause, code_of), "")
+        return codes if listed is None else F.when(F.exists(clause, lambda w: w.isin(listed)), codes).otherwise("")
 
     # One extra row per sentence carries its word count and keeps sentences without
     # a polar word. Its key starts with a blank, so it matches no lexicon word, and
     # it differs by response, so it is not a hot key if the join is shuffled.
-    nothing = F.array().cast("array<string>")
+    nothing = F.lit("")
     marker = F.struct(F.concat(F.lit(" "), F.col(row_id).cast("string")).alias("word"), nothing.alias("before"), nothing.alias("after"))
     n_words = F.aggregate("clauses", F.lit(0), lambda acc, c: acc + F.size(c)).cast("long")
+    split = split.withColumn("codes", F.transform("clauses", codes_of))
     contexts = split.select(
         row_id, "sentence_id", n_words.alias("_n"),
-        F.inline(F.concat(F.array(marker), F.flatten(F.transform("clauses", with_context)))),
+        F.inline(F.concat(F.array(marker), F.flatten(F.zip_with("clauses", "codes", with_context)))),
     )
     lexicon = polarity.select(F.col("word"), F.col("weight").cast("double").alias("_p"))
     is_marker = F.col("word").startswith(" ")
     rows = contexts.join(lexicon, "word", "left").where(is_marker | F.col("_p").isNotNull())
 
     near = F.concat("before", "after")
-    neg = (_hits(near, shifters.negators) % 2).cast("double")
-    amp = _hits(near, shifters.amplifiers).cast("double")
-    deamp = _hits(near, shifters.deamplifiers).cast("double")
-    turn = (_hits(F.col("before"), shifters.adversatives) - _hits(F.col("after"), shifters.adversatives)).cast("double")
+    neg = _count(near, "n") % 2
+    amp, deamp = _count(near, "a"), _count(near, "d")
+    turn = _count(F.col("before"), "b") - _count(F.col("after"), "b")
     up = SHIFT_WEIGHT * amp * (1.0 - neg)
     down = F.greatest(-SHIFT_WEIGHT * (amp * neg + deamp), F.lit(-1.0))
     weight = F.col("_p") * (1.0 + up + down) * (1.0 + ADVERSATIVE_WEIGHT * turn) * (1.0 - 2.0 * neg)
