@@ -89,6 +89,14 @@ def test_ordinals_by_group(spark):
         assert [m[1:] for m in members] == sorted(m[1:] for m in members)
 
 
+def test_rank_fraction(counts):
+    groups = defaultdict(list)
+    for r in skewed_counts():
+        groups[r[1]].append(r[3])
+    want = Counter((*r, sum(v <= r[3] for v in groups[r[1]]) / len(groups[r[1]])) for r in skewed_counts())
+    assert Counter(tuple(r) for r in keyed.rank_fraction(counts, "n", "doc").collect()) == want
+
+
 def test_row_ids_are_dense_and_ordered(spark):
     keys = random.Random(3).sample(range(10**12), 5000)
     df = spark.createDataFrame([(k, str(k)) for k in keys], "k long, v string").repartition(13)

@@ -73,30 +73,53 @@ def add_row_id(df: DataFrame, key: str, out: str = "row_id", slots: int | None =
     return numbered.withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).select(*df.columns, out)
 
 
-def ordinals(df: DataFrame, order: Sequence[Column], by: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
-    """Row number 1..N in ``order`` (restarting per ``by`` group) without one-task windows.
+def _in_ranges(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
+    """Rows range-sorted over tasks and checkpointed, which fixes the ranges.
 
-    The rows are range-sorted and checkpointed, which fixes the ranges; a row's
-    number is its position in the range plus the rows of the ranges before it.
+    Adds ``_slot`` (the range) and ``_id`` (ascending in the overall order).
     """
-    by = names(by)
     shared_folder(df.sparkSession)
-    sort = [F.col(b).asc_nulls_first() for b in by] + list(order)
-    fixed = (
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_slot", F.shiftright("_id", _SLOT_BITS))
-    )
+    ranges = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    fixed = ranges.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    return fixed.withColumn("_slot", F.shiftright("_id", _SLOT_BITS))
+
+
+def _with_starts(fixed: DataFrame, size: Column) -> DataFrame:
+    """Add ``_start``: the total ``size`` of the ranges before; one small row per range."""
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = fixed.groupBy("_slot").agg(F.count("*").alias("_c"))
+    starts = fixed.groupBy("_slot").agg(size.alias("_c"))
     starts = starts.select("_slot", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    return fixed.join(starts, "_slot")
+
+
+def ordinals(df: DataFrame, order: Sequence[Column], by: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
+    """Row number 1..N in ``order`` (restarting per ``by`` group) without one-task windows.
+
+    A row's number is its place in its range plus the rows of the ranges before.
+    """
+    by = names(by)
+    fixed = _in_ranges(df, [F.col(b).asc_nulls_first() for b in by] + list(order))
     local = F.col("_id").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    placed = fixed.join(starts, "_slot").withColumn("_pos", F.col("_start") + local)
+    placed = _with_starts(fixed, F.count("*")).withColumn("_pos", F.col("_start") + local)
     if by:
         firsts = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
         placed = attach(placed, firsts, by, salts=SALTS)
     else:
         placed = placed.withColumn("_first", F.lit(0))
     return placed.withColumn(out, (F.col("_pos") - F.col("_first") + 1).cast("long")).select(*df.columns, out)
+
+
+def rank_fraction(df: DataFrame, value: str, by: str, out: str = "fraction") -> DataFrame:
+    """Share of the group's rows whose value is not above the row's own, without a window per group.
+
+    The distinct values are range-sorted; running counts are formed inside a
+    range and shifted by the rows of the ranges before it.
+    """
+    levels = df.groupBy(by, value).agg(F.count("*").alias("_rows"))
+    fixed = _in_ranges(levels, [F.col(by).asc_nulls_first(), F.col(value).asc_nulls_first()])
+    local = F.sum("_rows").over(Window.partitionBy("_slot").orderBy("_id"))
+    placed = _with_starts(fixed.withColumn("_local", local), F.sum("_rows")).withColumn("_upto", F.col("_start") + F.col("_local"))
+    groups = placed.groupBy(by).agg(F.min(F.col("_upto") - F.col("_rows")).alias("_base"), F.sum("_rows").alias("_total"))
+    share = (F.col("_upto") - F.col("_base")) / F.col("_total")
+    shares = attach(placed.select(by, value, "_upto"), groups, by, salts=SALTS).select(by, value, share.alias(out))
+    return attach(df, shares, [by, value])

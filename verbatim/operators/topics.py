@@ -13,9 +13,9 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from verbatim.operators.keyed import attach
+from verbatim.operators.keyed import attach, rank_fraction
 from verbatim.operators.stats import freq_polygon
 from verbatim.operators.topn import top_n
 from verbatim.sources.readers import scratch_path, shared_folder
@@ -111,16 +111,14 @@ def gamma_histogram(gamma: DataFrame, bins: int = 30) -> DataFrame:
 def frex_scores(beta: DataFrame, weight: float = 0.5) -> DataFrame:
     """(topic, term, beta, frex): harmonic mean of the rank fractions of frequency and exclusivity.
 
-    Exclusivity is beta over its sum across topics. A window holds the terms of
-    one topic, whose number is bounded by the model's vocabulary.
+    Exclusivity is beta over its sum across topics.
     """
     # one value per topic, added in sorted order so that the sum is reproducible
     values = F.array_sort(F.collect_list("beta"))
     sums = beta.groupBy("term").agg(F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("_all"))
     rows = attach(beta, sums, "term").withColumn("_ex", F.col("beta") / F.nullif(F.col("_all"), F.lit(0.0)))
-    frequency = F.cume_dist().over(Window.partitionBy("topic").orderBy("beta"))
-    exclusivity = F.cume_dist().over(Window.partitionBy("topic").orderBy("_ex"))
-    frex = 1.0 / ((1.0 - weight) / frequency + weight / exclusivity)
+    rows = rank_fraction(rank_fraction(rows, "beta", "topic", "_f"), "_ex", "topic", "_e")
+    frex = 1.0 / ((1.0 - weight) / F.col("_f") + weight / F.col("_e"))
     return rows.select("topic", "term", "beta", frex.alias("frex"))
 
 

@@ -46,7 +46,10 @@ def sort_desc(df: DataFrame, value: str, term: str) -> DataFrame:
 
 
 def sort_group_then_desc(df: DataFrame, group: str, n: str = "n") -> DataFrame:
-    return df.orderBy(F.asc(group), F.desc(n))
+    """Order by group, then count; the other columns break ties, so that many equal
+    counts of one group are still cut into ranges."""
+    rest = [F.asc(c) for c in df.columns if c not in (group, n)]
+    return df.orderBy(F.asc(group), F.desc(n), *rest)
 
 
 def head_limit(df: DataFrame, order: Sequence[Column], k: int = 6) -> DataFrame:
