@@ -69,11 +69,17 @@ def grouped_vectors(docs: DocumentVectors, features: str = "features") -> Docume
     return replace(docs, vectors=summed)
 
 
-def fit_topics(docs: DocumentVectors, k: int, seed: int = 1234, iterations: int = 10, subsampling: float = 1.0) -> TopicModel:
-    """Fit ``k`` topics; every iteration sees all documents unless ``subsampling`` is lowered."""
+def fit_topics(docs: DocumentVectors, k: int, seed: int = 1234, iterations: int = 10, optimizer: str = "online",
+               subsampling: float = 1.0) -> TopicModel:
+    """Fit ``k`` topics; every iteration sees all documents unless ``subsampling`` is lowered.
+
+    ``online`` suits many short documents. It iterates on each document until its
+    topic weights are stable, which is slow for a few very long ones; ``em`` makes
+    one distributed pass over the (document, term) cells per iteration instead.
+    """
     shared_folder(docs.vectors.sparkSession)
     vectors = docs.vectors.checkpoint()  # every iteration reads the vectors, not the texts
-    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=subsampling, featuresCol="features")
+    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer=optimizer, subsamplingRate=subsampling, featuresCol="features")
     return TopicModel(lda.fit(vectors), docs.vocabulary, docs.terms, vectors, docs.document)
 
 

@@ -26,7 +26,7 @@ def _per_response(spark, sf):
 def _per_section(spark, sf):
     """Four topics with one document per source."""
     docs = tp.document_vectors(_word_arrays(spark, sf, "source"), "source")
-    return tp.fit_topics(tp.grouped_vectors(docs), k=4, iterations=5)
+    return tp.fit_topics(tp.grouped_vectors(docs), k=4, optimizer="em")
 
 
 @query("fit_lda")
