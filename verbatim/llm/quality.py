@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from verbatim.llm.common import Words, map_slices, mix, per_row, text_of
 
 #: N-gram length in words, and the largest share of characters that repeated ones may cover.
-COVERAGE_LIMITS = {2: 0.45, 3: 0.30, 5: 0.20, 7: 0.18, 10: 0.15}
+COVERAGE_LIMITS = {2: 0.45, 3: 0.30, 5: 0.25, 7: 0.25, 10: 0.20}
 #: Fixed value: the same for repeated lines.
 LINE_LIMIT = 0.30
 #: Fewest words, and percent of words in repeated five-word windows.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, quality, sharding
+from verbatim.llm import chat, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,16 @@ wholes AS (
 SELECT conv_id, n_turns, n_copies, rendered FROM wholes AS w
 WHERE NOT EXISTS (SELECT 1 FROM placed AS p WHERE p.pos < p.n AND p.pos = w.n_turns AND p.so_far = w.rendered)
 """
+
+
+def toxicity_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """Learned from labelled rows that are not held out."""
+    return toxicity.learn(toxicity.training_rows(docs, labels, ~toxicity.held_out(), "doc_id", "text", "toxic"))
+
+
+@query
+def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_lexicon(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_hits")
