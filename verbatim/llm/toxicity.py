@@ -25,7 +25,9 @@ TRAIN_TOXIC, TRAIN_CLEAN = 4000, 6000
 #: Most entries of the lexicon, heaviest first, and most exception phrases.
 LEXICON_SIZE, EXCEPTION_SIZE = 2000, 2000
 #: An entry needs this many toxic training rows, this share of them, and this log-odds.
-LEAST_ROWS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.004, 2.5
+LEAST_ROWS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.02, 3.8
+#: An entry also needs this share of the heaviest entry's log-odds; what chance brings into a lexicon is far lighter.
+RELATIVE_WEIGHT = 0.6
 #: Lengths of word starts that are tried as entries.
 STEMS = range(3, 9)
 #: A row is toxic from this score on.
@@ -155,6 +157,7 @@ def learn(rows: DataFrame) -> Lexicon:
     counts = _counts(rows, lambda text: entries_of(set(text.split())))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     found = counts.where((F.col("t") >= least) & (weight >= LEAST_WEIGHT)).orderBy(F.desc(weight), "f").limit(LEXICON_SIZE).collect()
+    found = [r for r in found if odds(r.t, r.c) >= RELATIVE_WEIGHT * odds(found[0].t, found[0].c)]
     weights = {r.f: odds(r.t, r.c) for r in found}
     # For the scale, a row must not profit from having been counted itself.
     own = {1: {r.f: odds(r.t - 1, r.c) for r in found if r.t > least}, 0: {r.f: odds(r.t, max(r.c - 1, 0)) for r in found}}
