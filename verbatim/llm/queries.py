@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, quality, secrets, sharding, toxicity
+from verbatim.llm import chat, pieces, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +85,9 @@ def op6_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), number("crf")
     )
+
+
+@query
+def op3_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and their decoding."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
