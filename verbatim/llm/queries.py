@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, pieces, quality, secrets, sharding, toxicity
+from verbatim.llm import chat, packing, pieces, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,9 @@ def op6_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and their decoding."""
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)

@@ -187,7 +187,8 @@ def learn(rows: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64()) for k in range(3)], ["a", "b", "y"])
 
     # One small row for each training row: bounded by the sample.
-    seen = np.array([tuple(r) for r in rows.mapInArrow(scales, "a double, b double, y double").orderBy("y", "a", "b").collect()]).reshape(-1, 3)
+    seen = np.array([tuple(r) for r in rows.mapInArrow(scales, "a double, b double, y double").collect()]).reshape(-1, 3)
+    seen = seen[np.lexsort(seen.T)]
     scale = _fit_scale(seen[:, :2], (seen[:, 2] == 1).astype(float)) if toxic and clean else (-5.0, 0.0, 0.0)
     return Lexicon(weights, spared, scale)
 
