@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, packing, pieces, quality, secrets, sharding, toxicity
+from verbatim.llm import chat, jaccard, packing, pieces, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,11 @@ def op3_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+
+
+@query
+def op2_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word sets are similar by 0.9 or more."""
+    linked = jaccard.link(table(spark, sf_dir, "documents"), 3, 90, 100)
+    smallest = F.when(F.col("component") < jaccard.NO_KEY, F.col("component"))
+    return linked.select("doc_id", "n_shingles", smallest.alias("component_id"))
