@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, jaccard, packing, pieces, quality, secrets, sharding, toxicity
+from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,9 @@ def op2_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(table(spark, sf_dir, "documents"), 3, 90, 100)
     smallest = F.when(F.col("component") < jaccard.NO_KEY, F.col("component"))
     return linked.select("doc_id", "n_shingles", smallest.alias("component_id"))
+
+
+@query
+def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return ctph.fingerprint(table(spark, sf_dir, "documents"))
