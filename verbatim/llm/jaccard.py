@@ -15,18 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from verbatim.llm.common import Words, grouped, map_slices, mix, saved, text_of
+from verbatim.llm.common import NO_KEY, Words, grouped, map_slices, mix, node_key, saved, text_of
 from verbatim.llm.graph import components
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
 #: N-grams of one block of a cluster; two blocks meet in a task.
 BLOCK_GRAMS = 1_500_000
-#: Keys from here on stand for rows without a key.
-NO_KEY = 1 << 62
-
 _U = np.uint64
 
 
@@ -91,11 +88,6 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def node_key(key: str, text: str) -> Column:
-    """The key; for rows without one, a number above all keys that depends on the text."""
-    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY) + F.pmod(F.xxhash64(F.col(text)), F.lit(NO_KEY - 1)))
-
-
 def _class_columns(sets: list[np.ndarray]) -> list[pa.Array]:
     """Size and a 128-bit digest of each set."""
     a = [int(mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
@@ -272,3 +264,13 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     named = classes.select(*same, F.col("node").alias("_class")).join(final.withColumnRenamed("node", "_class"), "_class", "left")
     found = docs.join(named.select(*same, F.coalesce("component", "_class").alias("component")), same, "left")
     return found.select(F.col("_key").alias(key), "node", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, with one row of each component: that of the smallest key.
+
+    Of rows that share a key, or that have no key and equal texts, one stays.
+    """
+    linked = link(df, words, num, den, key, text)
+    kept = linked.where(F.col("node") == F.col("component")).select(F.col("node").alias("__node")).distinct()
+    return df.withColumn("__node", node_key(key, text)).join(kept, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")

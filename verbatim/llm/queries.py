@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, toxicity
+from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity
+from verbatim.llm.common import NO_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +104,7 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word sets are similar by 0.9 or more."""
     linked = jaccard.link(table(spark, sf_dir, "documents"), 3, 90, 100)
-    smallest = F.when(F.col("component") < jaccard.NO_KEY, F.col("component"))
+    smallest = F.when(F.col("component") < NO_KEY, F.col("component"))
     return linked.select("doc_id", "n_shingles", smallest.alias("component_id"))
 
 
@@ -111,3 +112,9 @@ def op2_vertical_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
     return ctph.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings cut out of every document."""
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"), 100)

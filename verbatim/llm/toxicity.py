@@ -87,6 +87,14 @@ class Lexicon:
         made.make_automaton()
         return made
 
+    def score_of(self, text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, int]:
+        """Score and number of hits of one text."""
+        plain = folded(text)
+        found = hits(plain, automaton)
+        a, b = _features(sum(w for _, w in found.values()), max(plain.count(" ") - 1, 0))
+        low, by_sum, by_share = self.scale
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, low + by_sum * a + by_share * b)))), len(found)
+
 
 def hits(text: str, automaton: ahocorasick.Automaton | None) -> dict[int, tuple[int, float]]:
     """Heaviest entry by the place of the word in folded text; words inside an exception phrase are left out."""
@@ -200,20 +208,13 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
     by one; other columns are ignored.
     """
     kind = df.schema[key].dataType.simpleString()
-    low, by_sum, by_share = lexicon.scale
     made: list = []
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(lexicon.automaton())
-        scores, counts = [], []
-        for t in text_of(batch, "_text").to_pylist():
-            plain = folded(t)
-            found = hits(plain, made[0])
-            a, b = _features(sum(w for _, w in found.values()), max(plain.count(" ") - 1, 0))
-            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, low + by_sum * a + by_share * b)))))
-            counts.append(len(found))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], ["_key", "score", "n_hits"])
+        rows = [lexicon.score_of(t, made[0]) for t in text_of(batch, "_text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], ["_key", "score", "n_hits"])
 
     rows = map_slices(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", f"_key {kind}, score double, n_hits long", step)
     return rows.select(F.col("_key").alias(key), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")
@@ -222,3 +223,16 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def accepted(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that are not toxic; null and empty texts are not."""
+    made: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            if not made:
+                made.append(lexicon.automaton())
+            yield part.filter(pa.array([not t or lexicon.score_of(t, made[0])[0] < THRESHOLD for t in text_of(part, text).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
