@@ -37,3 +37,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """Root of each node of a forest (a, b), b being the parent of a: columns ``node`` and ``root``.
+
+    Pointer jumping: every round halves the depth and is one join, written out.
+    """
+    now = saved(parents.select(F.col("a").alias("node"), F.col("b").alias("root"), F.lit(True).alias("moved")), "roots")
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        now = saved(
+            now.join(above, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")), "roots"
+        )
+        if now.where("moved").isEmpty():
+            return now.select("node", "root")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from verbatim.llm.common import NO_KEY, Words, grouped, map_slices, mix, node_key, saved, text_of
-from verbatim.llm.graph import components
+from verbatim.llm.graph import components, roots
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
@@ -103,7 +103,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def settle(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between different components among the sets of a table (node, component, n, part), enough to join all linked ones.
+    """Pairs of components with linked sets in a table (node, component, part), enough to join all that are linked.
 
     A text outside the largest component is held against all others at once: for
     each of its n-grams the shorter of the lists "who has it" and "who lacks it" is
@@ -119,7 +119,7 @@ def settle(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
     n = np.bincount(owner, minlength=k)
     group = np.zeros(k, np.int64)
     group[inverse] = table["component"].to_numpy()
-    _, group = np.unique(group, return_inverse=True)
+    names, group = np.unique(group, return_inverse=True)
     _, token = np.unique(grams, return_inverse=True)
     order = np.lexsort((owner, token))
     holders, ends = owner[order], np.cumsum(np.bincount(token))
@@ -158,7 +158,7 @@ def settle(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
             a, b = root(int(group[r])), root(int(group[y]))
             if a != b:
                 parent[a] = b
-                links.append((int(node[r]), int(node[y])))
+                links.append((int(names[group[r]]), int(names[group[y]])))
     return links
 
 
@@ -231,26 +231,27 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     )
     direct = saved(summed, "jaccard-direct")
 
-    # The rest: clusters of candidates that still hold several components.
-    cluster = components(stars.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    joined = components(direct)
-    heads = cluster.select("component").distinct()
-    members = (
-        cluster.select("node", F.col("component").alias("cluster")).union(heads.select("component", "component"))
-        .join(joined, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+    # The rest: clusters of candidates whose members have not all been joined yet.
+    joined = saved(roots(direct).withColumnRenamed("root", "component"), "jaccard-joined")
+    named = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = (
+        stars.join(named("node"), "node", "left").join(named("leader"), "leader", "left")
+        .select(F.coalesce("_node", "node").alias("a"), F.coalesce("_leader", "leader").alias("b")).where("a != b")
     )
-    weight = sets.groupBy("node").agg(F.sum(F.size("part")).alias("w"))
-    open_ = (
-        members.join(weight, "node").groupBy("cluster")
-        .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.sum("w").alias("_w"))
-        .where("_lo < _hi").select("cluster", F.ceil(F.col("_w") / block).cast("int").alias("blocks"))
+    cluster = components(apart).withColumnsRenamed({"component": "cluster", "node": "component"})
+    cluster = cluster.union(cluster.select("cluster", "cluster").distinct())
+    sized_sets = sets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    members = sized_sets.join(cluster, "component").select("node", "component", "cluster")
+    blocks = (
+        members.join(sets.select("node", "part"), "node").groupBy("cluster")
+        .agg(F.ceil(F.sum(F.size("part")) / block).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = (
-        members.join(open_, "cluster").withColumn("_own", own)
+        members.join(blocks, "cluster").withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", "component", "cluster", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-        .join(sets, "node").select("cluster", "i", "j", "node", "component", "n", "part")
+        .join(sets, "node").select("cluster", "i", "j", "node", "component", "part")
     )
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +261,10 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rest = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(links, "a long, b long")
-    final = components(direct.union(rest))
-    named = classes.select(*same, F.col("node").alias("_class")).join(final.withColumnRenamed("node", "_class"), "_class", "left")
-    found = docs.join(named.select(*same, F.coalesce("component", "_class").alias("component")), same, "left")
+    final = components(rest).select(F.col("node").alias("_root"), F.col("component").alias("_last"))
+    known = classes.select(*same, "node").join(joined, "node", "left").withColumn("_root", F.coalesce("component", "node"))
+    known = known.join(final, "_root", "left").select(*same, F.coalesce("_last", "_root").alias("component"))
+    found = docs.join(known, same, "left")
     return found.select(F.col("_key").alias(key), "node", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
