@@ -112,9 +112,7 @@ def test_attach_salted_equals_plain(spark, counts):
 
 
 @pytest.mark.parametrize("seed, small", [(1, True), (2, True), (2, False)])
-def test_sentence_scores(spark, seed, small, monkeypatch):
-    if not small:  # as with a lexicon that is too long for a literal list
-        monkeypatch.setattr(sn, "few_words", lambda lexicon: None)
+def test_sentence_scores(spark, seed, small):
     rng = random.Random(seed)
     vocab = list(POLARITY) + ["no", "is", "with", "by", "for", "stone", "river"]
     texts = []
@@ -123,6 +121,8 @@ def test_sentence_scores(spark, seed, small, monkeypatch):
         texts.append((i, " ".join(parts).capitalize()))
     df = spark.createDataFrame(texts, "row_id int, text string")
     lex = lx.polarity_lexicon(spark, POLARITY).selectExpr("word", "if(sentiment = 'positive', 1.0, -1.0) as weight")
+    if small:
+        lex = {r.word: r.weight for r in lex.collect()}
     got = {(r.row_id, r.sentence_id): (r.word_count, round(r.sentiment, 9)) for r in sn.sentence_sentiment(df, "row_id", "text", lex, SHIFTERS).collect()}
     want = {}
     for i, text in texts:
@@ -175,32 +175,18 @@ def test_freq_polygon_counts_every_row(spark):
 def fitted(spark):
     rng = random.Random(9)
     pools = [["cat", "dog", "bird", "fish"], ["tax", "vote", "law", "court"]]
-    docs = [(i, [rng.choice(pools[i % 2]) for _ in range(40)]) for i in range(60)]
+    docs = [(i, [rng.choice(pools[i % 2]) for _ in range(40)]) for i in range(60)] + [(60, []), (None, ["cat"])]
     df = spark.createDataFrame(docs, "doc int, words array<string>")
-    return tp.fit_topics(tp.document_vectors(df, "doc"), k=2, iterations=20)
+    return tp.fit_topics(*tp.document_cells(df, "doc"), "doc", k=2, iterations=12)
 
 
 def test_topic_model_tables(fitted):
     beta, gamma = tp.topic_terms_beta(fitted).toPandas(), tp.doc_topics_gamma(fitted).toPandas()
     assert np.allclose(beta.groupby("topic").beta.sum(), 1) and len(beta) == 16
-    assert np.allclose(gamma.groupby("doc").gamma.sum(), 1) and len(gamma) == 120
+    assert np.allclose(gamma.groupby("doc", dropna=False).gamma.sum(), 1) and len(gamma) == 124
+    assert set(gamma[gamma.doc == 60].gamma) == {0.5}
     assert abs(tp.topic_prevalence(tp.doc_topics_gamma(fitted)).toPandas().prevalence.sum() - 1) < 1e-9
-    assert tp.gamma_histogram(tp.doc_topics_gamma(fitted)).toPandas().n.sum() == 120
+    assert tp.gamma_histogram(tp.doc_topics_gamma(fitted)).toPandas().n.sum() == 124
     tops = tp.top_terms_per_topic(tp.topic_terms_beta(fitted), 4).toPandas().groupby("topic").term.agg(set)
     assert sorted(map(sorted, tops)) == [["bird", "cat", "dog", "fish"], ["court", "law", "tax", "vote"]]
     assert len(tp.topic_labels_frex(tp.topic_terms_beta(fitted), 4).toPandas()) == 8
-
-
-def test_vocabulary_is_refused_not_cut(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "c"])], "doc int, words array<string>")
-    with pytest.raises(ValueError):
-        tp.document_vectors(df, "doc", max_terms=2)
-
-
-def test_grouped_vectors(spark):
-    df = spark.createDataFrame([("s", ["a", "b"]), ("s", ["b"]), ("t", ["c"])], "doc string, words array<string>")
-    docs = tp.document_vectors(df, "doc")
-    index = {r.i: r.term for r in docs.vocabulary.collect()}
-    got = {r.doc: {index[i]: v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())} if hasattr(r.features, "indices")
-           else {index[i]: v for i, v in enumerate(r.features.toArray()) if v} for r in tp.grouped_vectors(docs).vectors.collect()}
-    assert got == {"s": {"a": 1.0, "b": 2.0}, "t": {"c": 1.0}}

@@ -1,6 +1,7 @@
 """Null, empty, short and tied inputs."""
 
 import datetime
+from collections import Counter
 
 from pyspark.sql import Row, functions as F
 
@@ -217,7 +218,7 @@ def test_csv_round_trip(spark):
     path = rd.scratch_path(spark, "csv-test")
     df = spark.createDataFrame([(1, 'say "hi",\nthen go '), (2, " x"), (3, "back\\slash")], "id long, text string")
     rd.write_csv(df, path)
-    assert rows(rd.scan_csv(spark, path, "id long, text string")) == rows(df)
+    assert rows(rd.scan_csv(spark, path, "id long, text string", multi_line=True)) == rows(df)
 
 
 def test_scan_except_cast_and_date(spark):
@@ -233,10 +234,46 @@ def test_lexicons(spark):
     assert sorted(ENGLISH) == sorted(lx.stop_word_list("english"))
     raw = spark.createDataFrame([(" Good ", "3"), ("good", "3"), (None, "1"), ("bad", "x")], "w string, v string")
     assert rows(lx.normalise_lexicon(raw, "v", "score", word="w", to="double")) == [("good", 3.0)]
-    import pytest
 
-    with pytest.raises(ValueError):
-        lx.checked_literal(str(i) for i in range(lx.MAX_LITERAL_WORDS + 1))
+
+def test_long_chains_of_pieces_and_long_lines(spark, tmp_path):
+    path = str(tmp_path / "long")
+    spark.createDataFrame([(1, "a." * 100_000), (2, "x" * 1_000_000), (3, "one\nto: b: c\nd: e")], "id int, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    sizes = {r.id: (r.n, r.first) for r in df.select("id", F.size(tx.word_array("text")).alias("n"), F.length(F.get(tx.word_array("text"), F.lit(0))).alias("first")).collect()}
+    assert sizes[1] == (1, 199_999) and sizes[2] == (1, 1_000_000)
+    cut = {r.id: r.t for r in df.select("id", tx.strip_reply_prefix("text").alias("t")).collect()}
+    assert cut[2] == "x" * 1_000_000 and cut[3] == "one\n: c\nd: e"
+
+
+def test_stop_words_from_a_table(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "the and"), (3, None), (1, "a cat")], "id int, text string")
+    stops = ["the", "and"]
+    frame = lx.word_frame(spark, stops)
+    for make in (lambda s: tk.word_tokens(df, "text", stop_words=s), lambda s: tk.ngrams(df, "text", 2, stop_words=s), lambda s: tk.rejoined_text(df, "text", s)):
+        assert Counter(map(tuple, make(stops).collect())) == Counter(map(tuple, make(frame).collect()))
+    assert rows(tk.pairs_without_stop_parts(df, "text", stops)) == rows(tk.pairs_without_stop_parts(df, "text", frame))
+
+
+def test_sentences_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "good day. bad."), (1, "good"), (None, "not good"), (None, "")], "id int, text string")
+    weights = {"good": 1.0, "bad": -1.0}
+    table = spark.createDataFrame(list(weights.items()), "word string, weight double")
+    shifters = sn.Shifters(negators=["not"])
+    want = Counter([(1, 1, 2, round(2**-0.5, 9)), (1, 2, 1, -1.0), (1, 1, 1, 1.0), (None, 1, 2, round(-(2**-0.5), 9))])
+    for lexicon in (weights, table):
+        got = sn.sentence_sentiment(df, "id", "text", lexicon, shifters).collect()
+        assert Counter((r.id, r.sentence_id, r.word_count, round(r.sentiment, 9)) for r in got) == want
+
+
+def test_top_facets_and_overrides_from_tables(spark):
+    df = spark.createDataFrame([(f"w{i}", "a", 5) for i in range(15)] + [("x", "b", 1), (None, "b", 9)], "word string, g string, n int")
+    assert tn.top_n(df, 10, "n", by=["g", "word"]).count() == 17
+    assert sorted(r.ord for r in tn.top_facets(df, 3, "word", "g").where("g = 'a'").collect()) == list(range(1, 16))
+    three = spark.createDataFrame([("w", "a", k) for k in (3, 3, 2, 1)], "word string, g string, n int")
+    assert rows(tn.top_n_per_term_group(three, 2, "n", "g", "word")) == [("w", "a", 3), ("w", "a", 3)]
+    lex = lx.score_lexicon(spark, {"a": 1, "b": 2})
+    assert rows(sn.override_scores(lex, spark.createDataFrame([("a", -1)], "word string, score int"))) == [("a", -1.0), ("b", 2.0)]
 
 
 def test_checkpoint_dir_is_the_sessions(spark):

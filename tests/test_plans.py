@@ -4,14 +4,11 @@ import pytest
 
 from verbatim.plans import base, catalog
 
-FITTED = {"fit_lda", "fit_topics", "topic_terms_beta", "doc_topics_gamma", "gamma_histogram", "topic_prevalence"}
-
-
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in FITTED])
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_no_cross_join_and_no_python(name, spark, sf):
     plan = plan_of(catalog.queries()[name](spark, sf))
     for node in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
@@ -55,10 +52,3 @@ def test_texts_are_read_once(name, spark, sf):
     last = max(stages(), default=-1)
     catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
     assert sum(n for i, n in stages().items() if i > last) == documents
-
-
-def test_tables_with_enough_partitions_are_not_dealt_out(spark):
-    from verbatim.sources.readers import spread
-
-    assert "Exchange" not in plan_of(spread(spark.range(100, numPartitions=64).toDF("x")))
-    assert "RoundRobin" in plan_of(spread(spark.range(100, numPartitions=2).toDF("x")))

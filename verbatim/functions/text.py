@@ -14,6 +14,8 @@ from pyspark.sql import Column, functions as F
 # The token, sentence and pause definitions shared with the SQL checks.
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# The same words, but possessive: no piece is ever given back, so a long chain of pieces takes no stack.
+TOKEN_POSSESSIVE = r"[\p{L}\p{M}\p{N}_]++(?:['’.][\p{L}\p{M}\p{N}_]++)*+"
 SENTENCE = r"[^.!?]+[.!?]*"
 CLAUSE = r"[^,;:]+"
 PATH_BREAK = r"[^\p{L}\p{N}]+"
@@ -31,11 +33,11 @@ def _extract_all(text: Column, pattern: str) -> Column:
 
 def word_array(text: Column | str) -> Column:
     """Lower-cased words in text order; null text gives null, no word gives an empty array."""
-    return _extract_all(F.lower(_col(text)), TOKEN)
+    return _extract_all(F.lower(_col(text)), TOKEN_POSSESSIVE)
 
 
 def without_words(words: Column | str, drop: Iterable[str]) -> Column:
-    """Words of the array that are not in the (bounded, literal) ``drop`` list."""
+    """Words of the array that are not in the literal ``drop`` list."""
     drop = sorted(set(drop))
     return F.filter(_col(words), lambda w: ~w.isin(drop)) if drop else _col(words)
 
@@ -53,7 +55,7 @@ def ngram_array(words: Column | str, n: int) -> Column:
 def only_lettered(words: Column | str, drop: Iterable[str]) -> Column:
     """The words with those that hold no letter a-z, or are in the literal ``drop`` list, set to null."""
     drop = sorted(set(drop))
-    return F.transform(_col(words), lambda w: F.when(w.rlike("[a-z]") & ~w.isin(drop), w))
+    return F.transform(_col(words), lambda w: F.when((w.rlike("[a-z]") & ~w.isin(drop)) if drop else w.rlike("[a-z]"), w))
 
 
 def known_pairs(words: Column | str) -> Column:
@@ -103,8 +105,19 @@ def strip_blanks(text: Column | str) -> Column:
 
 
 def strip_reply_prefix(text: Column | str) -> Column:
-    """On the first line that has a colon, drop what stands before its last colon."""
-    return F.regexp_replace(_col(text), r"(?s)^(.*?)(?-s:.*:)(.*)$", "$1:$2")
+    """On the first line that has a colon, drop what stands before its last colon.
+
+    Made of searches for single characters, so the cost grows with the length of
+    the text; a text without colon stays as it is.
+    """
+    text = _col(text)
+    lines = F.translate(text, "\r\u0085\u2028\u2029", "\n\n\n\n")
+    before = F.substring_index(lines, ":", 1)
+    line_start = F.length(before) - F.length(F.substring_index(before, "\n", -1))
+    from_colon = F.substring_index(F.substring(lines, F.length(before) + 1, F.length(text)), "\n", 1)
+    last_colon = F.length(before) + F.length(from_colon) - F.length(F.substring_index(from_colon, ":", -1))
+    cut = F.concat(F.substring(text, F.lit(1), line_start), F.substring(text, last_colon, F.length(text)))
+    return F.when(F.contains(text, F.lit(":")), cut).otherwise(text)
 
 
 def clean_corpus(text: Column | str, stop_words: Iterable[str]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verbatim.functions import numeric as num, text as tx
 from verbatim.operators.keyed import SALTS, attach, names
 from verbatim.operators.topn import top_n
-from verbatim.sources.lexicons import checked_literal, few_words
+from verbatim.sources.lexicons import polarity_lexicon, score_lexicon
 
 # Weights and reach of the sentence score.
 SHIFT_WEIGHT = 0.8
@@ -37,17 +37,26 @@ def join_scores(tokens: DataFrame, lexicon: DataFrame, how: str = "left", word:
     return tokens.join(lexicon.select(F.col("word").alias(word), "score"), word, how)
 
 
-def override_scores(lexicon: DataFrame, scores: Mapping[str, float]) -> DataFrame:
-    """Reassign the scores of some lexicon words."""
-    new = F.coalesce(*[F.when(F.col("word") == w, F.lit(float(s))) for w, s in scores.items()], F.col("score"))
-    return lexicon.withColumn("score", new)
+def override_scores(lexicon: DataFrame, scores: Mapping[str, float] | DataFrame) -> DataFrame:
+    """Reassign the scores of some lexicon words, given as a mapping or as a (word, score) table."""
+    new = scores.select("word", F.col("score").cast("double").alias("_new")) if isinstance(scores, DataFrame) else score_lexicon(
+        lexicon.sparkSession, scores
+    ).withColumnRenamed("score", "_new")
+    return lexicon.join(new, "word", "left").withColumn("score", F.coalesce("_new", "score")).drop("_new")
 
 
-def override_polarity(counts: DataFrame, sentiments: Mapping[str, str], neutral: Iterable[str] = (),
+def override_polarity(counts: DataFrame, sentiments: Mapping[str, str] | DataFrame, neutral: Iterable[str] = (),
                       word: str = "word") -> DataFrame:
-    """Reassign the sentiment of some words and drop neutral ones; counts stay as they are."""
-    new = F.coalesce(*[F.when(F.col(word) == w, F.lit(s)) for w, s in sentiments.items()], F.col("sentiment"))
-    return counts.where(~F.col(word).isin(list(neutral))).withColumn("sentiment", new)
+    """Reassign the sentiment of some words and drop neutral ones; counts stay as they are.
+
+    A (word, sentiment) table works like the mapping; its words without sentiment are neutral.
+    """
+    spark = counts.sparkSession
+    if not isinstance(sentiments, DataFrame):
+        sentiments = polarity_lexicon(spark, {**sentiments, **dict.fromkeys(neutral)})
+    new = sentiments.select(F.col("word").alias(word), F.col("sentiment").alias("_new"), F.lit(True).alias("_known"))
+    joined = counts.join(new, word, "left").where(F.col("_known").isNull() | F.col("_new").isNotNull())
+    return joined.withColumn("sentiment", F.coalesce("_new", "sentiment")).select(*counts.columns)
 
 
 # --- word polarity ----------------------------------------------------------
@@ -141,7 +150,7 @@ def segment_polarity_bar(counts: DataFrame, polarity: DataFrame, segment: str =
 
 @dataclass(frozen=True)
 class Shifters:
-    """Bounded word lists that change the weight of a polar word near them."""
+    """Word lists that change the weight of a polar word near them."""
 
     negators: Sequence[str] = field(default_factory=tuple)
     amplifiers: Sequence[str] = field(default_factory=tuple)
@@ -151,7 +160,7 @@ class Shifters:
     def by_code(self) -> dict[str, list[str]]:
         """The lists by a one-letter code; a word must not be in two of them."""
         lists = {"n": self.negators, "a": self.amplifiers, "d": self.deamplifiers, "b": self.adversatives}
-        coded = {code: checked_literal(words) for code, words in lists.items()}
+        coded = {code: sorted(set(words)) for code, words in lists.items()}
         if len({w for words in coded.values() for w in words}) < sum(map(len, coded.values())):
             raise ValueError("a word is in two shifter lists")
         return coded
@@ -162,73 +171,88 @@ def _count(codes: Column, code: str) -> Column:
     return F.char_length(F.translate(codes, ".nadb".replace(code, ""), "")).cast("double")
 
 
-def split_sentences(responses: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, sentence_id, sentence, clauses): sentences in text order, clauses as word arrays."""
-    rows = responses.select(row_id, F.posexplode(tx.sentence_array(text)).alias("_p", "sentence"))
+def split_sentences(responses: DataFrame, row_id: str, text: str, *more: str) -> DataFrame:
+    """(row_id, more..., sentence_id, sentence, clauses): sentences in text order, clauses as word arrays."""
+    rows = responses.select(row_id, *more, F.posexplode(tx.sentence_array(text)).alias("_p", "sentence"))
     clauses = F.transform(tx.clause_array("sentence"), tx.word_array)
-    return rows.select(row_id, (F.col("_p") + 1).cast("long").alias("sentence_id"), "sentence", clauses.alias("clauses"))
+    return rows.select(row_id, *more, (F.col("_p") + 1).cast("long").alias("sentence_id"), "sentence", clauses.alias("clauses"))
+
+
+def _shifted(weight: Column, before: Column, after: Column) -> Column:
+    """Weight of a polar word under the codes around it."""
+    near = F.concat(before, after)
+    neg = _count(near, "n") % 2
+    amp, deamp = _count(near, "a"), _count(near, "d")
+    turn = _count(before, "b") - _count(after, "b")
+    up = SHIFT_WEIGHT * amp * (1.0 - neg)
+    down = F.greatest(-SHIFT_WEIGHT * (amp * neg + deamp), F.lit(-1.0))
+    return weight * (1.0 + up + down) * (1.0 + ADVERSATIVE_WEIGHT * turn) * (1.0 - 2.0 * neg)
+
 
+def _around(codes: Column, i: Column) -> tuple[Column, Column]:
+    """Codes of the five words before and the two words after place ``i``."""
+    first = F.greatest(i - WORDS_BEFORE, F.lit(0))
+    return F.substring(codes, first + 1, i - first), F.substring(codes, i + 2, F.lit(WORDS_AFTER))
 
-def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: DataFrame, shifters: Shifters) -> DataFrame:
-    """(row_id, sentence_id, word_count, sentiment) for each sentence.
 
-    ``polarity`` is (word, weight). A clause is written as a string with one code
-    letter per word, and each word leaves its sentence with the codes of the five
-    words before and the two words after it. The neighbourhood thus needs no
-    window and no shuffle of tokens; the lexicon join keeps the polar words only
-    and their small sums are the one thing shuffled by sentence. Words of a small
-    lexicon are found inside the clause already, before any row is made of them.
+def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: Mapping[str, float] | DataFrame, shifters: Shifters) -> DataFrame:
+    """(row_id, sentence_id, word_count, sentiment) for each sentence of each row.
+
+    A clause is written as a string with one code letter per word, and a polar word
+    is weighed by the codes of the five words before and the two words after it. With
+    a mapping of words to weights everything happens inside the sentence, without any
+    shuffle. With a (word, weight) table each word leaves its sentence with the codes
+    around it, the join keeps the polar ones, and their sums are shuffled. Rows are
+    told apart by place, so ``row_id`` may repeat or be null.
     """
     coded = shifters.by_code()
-    listed = few_words(polarity)  # None for a lexicon too large for the plan: then the join alone finds polar words
-    split = split_sentences(responses, row_id, text)
 
     def code_of(word: Column) -> Column:
         return F.coalesce(*[F.when(word.isin(words), code) for code, words in coded.items() if words], F.lit("."))
 
-    def with_context(clause: Column, codes: Column) -> Column:
-        def around(word: Column, i: Column) -> Column:
-            first = F.greatest(i - WORDS_BEFORE, F.lit(0))
-            before, after = F.substring(codes, first + 1, i - first), F.substring(codes, i + 2, F.lit(WORDS_AFTER))
-            near = F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
-            return near if listed is None else F.when(word.isin(listed), near)
+    codes = F.transform("clauses", lambda clause: F.array_join(F.transform(clause, code_of), ""))
+    n_words = F.aggregate("clauses", F.lit(0), lambda acc, c: acc + F.size(c)).cast("long")
+    score = lambda total: F.when(F.col("word_count") > 0, total / F.sqrt(F.col("word_count").cast("double"))).otherwise(0.0)
 
-        found = F.transform(clause, around)
-        return found if listed is None else F.filter(found, lambda c: c.isNotNull())
+    if isinstance(polarity, Mapping):
+        split = split_sentences(responses, row_id, text).withColumn("codes", codes)
+        weights = F.create_map(*[F.lit(v) for word, weight in polarity.items() for v in (word, float(weight))]) if polarity else None
 
-    def codes_of(clause: Column) -> Column:
-        codes = F.array_join(F.transform(clause, code_of), "")
-        return codes if listed is None else F.when(F.exists(clause, lambda w: w.isin(listed)), codes).otherwise("")
+        def weighed(clause: Column, codes: Column) -> Column:
+            return F.transform(clause, lambda word, i: F.coalesce(_shifted(weights[word], *_around(codes, i)), F.lit(0.0)))
+
+        total = F.lit(0.0)
+        if polarity:
+            total = F.aggregate(F.flatten(F.zip_with("clauses", "codes", weighed)), F.lit(0.0), lambda acc, w: acc + w)
+        sums = split.select(row_id, "sentence_id", n_words.alias("word_count"), total.alias("_s"))
+        return sums.select(row_id, "sentence_id", "word_count", score(F.col("_s")).alias("sentiment"))
+
+    def with_context(clause: Column, codes: Column) -> Column:
+        def near(word: Column, i: Column) -> Column:
+            before, after = _around(codes, i)
+            return F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
+
+        return F.transform(clause, near)
 
     # One extra row per sentence carries its word count and keeps sentences without
     # a polar word. Its key starts with a blank, so it matches no lexicon word, and
-    # it differs by response, so it is not a hot key if the join is shuffled.
+    # it differs by row, so it is not a hot key if the join is shuffled.
+    numbered = responses.withColumn("_row", F.monotonically_increasing_id())
+    split = split_sentences(numbered, row_id, text, "_row").withColumn("codes", codes)
     nothing = F.lit("")
-    marker = F.struct(F.concat(F.lit(" "), F.col(row_id).cast("string")).alias("word"), nothing.alias("before"), nothing.alias("after"))
-    n_words = F.aggregate("clauses", F.lit(0), lambda acc, c: acc + F.size(c)).cast("long")
-    split = split.withColumn("codes", F.transform("clauses", codes_of))
+    marker = F.struct(F.concat(F.lit(" "), F.col("_row").cast("string")).alias("word"), nothing.alias("before"), nothing.alias("after"))
     contexts = split.select(
-        row_id, "sentence_id", n_words.alias("_n"),
+        row_id, "_row", "sentence_id", n_words.alias("_n"),
         F.inline(F.concat(F.array(marker), F.flatten(F.zip_with("clauses", "codes", with_context)))),
     )
     lexicon = polarity.select(F.col("word"), F.col("weight").cast("double").alias("_p"))
     is_marker = F.col("word").startswith(" ")
     rows = contexts.join(lexicon, "word", "left").where(is_marker | F.col("_p").isNotNull())
-
-    near = F.concat("before", "after")
-    neg = _count(near, "n") % 2
-    amp, deamp = _count(near, "a"), _count(near, "d")
-    turn = _count(F.col("before"), "b") - _count(F.col("after"), "b")
-    up = SHIFT_WEIGHT * amp * (1.0 - neg)
-    down = F.greatest(-SHIFT_WEIGHT * (amp * neg + deamp), F.lit(-1.0))
-    weight = F.col("_p") * (1.0 + up + down) * (1.0 + ADVERSATIVE_WEIGHT * turn) * (1.0 - 2.0 * neg)
-
-    sums = rows.groupBy(row_id, "sentence_id").agg(
+    sums = rows.groupBy("_row", row_id, "sentence_id").agg(
         F.sum(F.when(is_marker, F.col("_n")).otherwise(0)).alias("word_count"),
-        F.sum(F.when(is_marker, F.lit(0.0)).otherwise(weight)).alias("_s"),
+        F.sum(F.when(is_marker, F.lit(0.0)).otherwise(_shifted(F.col("_p"), F.col("before"), F.col("after")))).alias("_s"),
     )
-    score = F.when(F.col("word_count") > 0, F.col("_s") / F.sqrt(F.col("word_count").cast("double"))).otherwise(0.0)
-    return sums.select(row_id, "sentence_id", "word_count", score.alias("sentiment"))
+    return sums.select(row_id, "sentence_id", "word_count", score(F.col("_s")).alias("sentiment"))
 
 
 def attach_sentences(responses: DataFrame, sentences: DataFrame, row_id: str, element_id: str | None = None) -> DataFrame:

@@ -13,29 +13,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from verbatim.functions import text as tx
 from verbatim.operators.keyed import names
-from verbatim.sources.lexicons import checked_literal
 
 
-def with_word_array(df: DataFrame, text: str, out: str = "words", stop_words: Iterable[str] | None = None) -> DataFrame:
-    """Replace the text by its word array, optionally without a literal stop list."""
+StopWords = Iterable[str] | DataFrame
+
+
+def with_word_array(df: DataFrame, text: str, out: str = "words", stop_words: StopWords | None = None) -> DataFrame:
+    """Replace the text by its word array, optionally without stop words.
+
+    A list is filtered inside the array. A (word) table is anti-joined by token and
+    the arrays are put together again; responses without any word left then go.
+    """
     df = df.withColumn(out, tx.word_array(text)).drop(text)
     if stop_words is None:
         return df
-    return df.withColumn(out, tx.without_words(out, checked_literal(stop_words)))
+    if not isinstance(stop_words, DataFrame):
+        return df.withColumn(out, tx.without_words(out, stop_words))
+    carried = [c for c in df.columns if c != out]
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    words = remove_stop_words(numbered.select("_row", *carried, F.posexplode(out).alias("_pos", "_word")), stop_words, "_word")
+    pairs = F.array_sort(F.collect_list(F.struct("_pos", "_word")))  # at most the words of one response
+    return words.groupBy("_row", *carried).agg(F.transform(pairs, lambda p: p["_word"]).alias(out)).drop("_row")
 
 
 def word_tokens(df: DataFrame, text: str, out: str = "word", pos: str | None = None,
-                stop_words: Iterable[str] | None = None) -> DataFrame:
+                stop_words: StopWords | None = None) -> DataFrame:
     """One row per word with the other columns carried along."""
-    arrays = with_word_array(df, text, "_words", stop_words)
+    listed = None if isinstance(stop_words, DataFrame) else stop_words
+    arrays = with_word_array(df, text, "_words", listed)
     carried = [c for c in arrays.columns if c != "_words"]
     words = F.coalesce("_words", F.array(F.lit(None).cast("string")))
-    if pos is None:
-        return arrays.select(*carried, F.explode(words).alias(out))
-    return arrays.select(*carried, F.posexplode(words).alias(pos, out))
+    each = F.explode(words).alias(out) if pos is None else F.posexplode(words).alias(pos, out)
+    tokens = arrays.select(*carried, each)
+    return remove_stop_words(tokens, stop_words, out) if isinstance(stop_words, DataFrame) else tokens
 
 
-def ngrams(df: DataFrame, text: str, n: int, out: str = "ngram", stop_words: Iterable[str] | None = None,
+def ngrams(df: DataFrame, text: str, n: int, out: str = "ngram", stop_words: StopWords | None = None,
            keep_short: bool = True) -> DataFrame:
     """One row per ``n``-gram of adjacent words.
 
@@ -51,8 +64,8 @@ def ngrams(df: DataFrame, text: str, n: int, out: str = "ngram", stop_words: Ite
     return arrays.select(*carried, F.explode(tx.ngram_array("_words", n)).alias(out))
 
 
-def rejoined_text(df: DataFrame, text: str, stop_words: Iterable[str], out: str = "no_stop_text") -> DataFrame:
-    """Text of each response without its stop words, joined by blanks, with no shuffle."""
+def rejoined_text(df: DataFrame, text: str, stop_words: StopWords, out: str = "no_stop_text") -> DataFrame:
+    """Text of each response without its stop words, joined by blanks."""
     arrays = with_word_array(df, text, "_words", stop_words).where(F.size("_words") > 0)
     return arrays.withColumn(out, F.array_join("_words", " ")).drop("_words")
 
@@ -98,12 +111,15 @@ def bigrams_without_stop_parts(bigrams: DataFrame, stop_words: DataFrame, bigram
     return remove_stop_words(remove_stop_words(parts, stop_words, "first"), stop_words, "second")
 
 
-def pairs_without_stop_parts(df: DataFrame, text: str, stop_words: Iterable[str]) -> DataFrame:
-    """The same pairs as (word1, word2) rows from the text, for a literal stop list.
+def pairs_without_stop_parts(df: DataFrame, text: str, stop_words: StopWords) -> DataFrame:
+    """The same pairs as (word1, word2) rows from the text.
 
-    Pairs are dropped inside the word array, before any row is made of them.
+    With a list, pairs are dropped inside the word array, before any row is made of
+    them; with a (word) table, both words are anti-joined.
     """
+    table = isinstance(stop_words, DataFrame)
     words = with_word_array(df, text, "_words")
-    words = words.withColumn("_words", tx.only_lettered("_words", checked_literal(stop_words)))
+    words = words.withColumn("_words", tx.only_lettered("_words", () if table else stop_words))
     carried = [c for c in words.columns if c != "_words"]
-    return words.select(*carried, F.inline(tx.known_pairs("_words")))
+    pairs = words.select(*carried, F.inline(tx.known_pairs("_words")))
+    return remove_stop_words(remove_stop_words(pairs, stop_words, "word1"), stop_words, "word2") if table else pairs

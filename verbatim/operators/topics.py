@@ -1,103 +1,102 @@
-"""Topic models on Spark ML and the tables read from them.
+"""Topic models as tables, fitted by expectation maximisation.
 
-A topic model keeps a (topics x terms) matrix on the driver, so the vocabulary
-is counted first and a model is refused, not truncated, when it is too large
-for that; raise ``min_docs`` to leave out rare terms on purpose.
+A model is two DataFrames: the weights of each (document, topic) and of each (term,
+topic), one row per document or term with one column per topic. Every step joins
+them with the (document, term, n) cells, splits each cell's count among the topics,
+and sums the parts both ways with partial aggregation. Nothing as long as the
+vocabulary is ever on the driver or in one row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from verbatim.operators.keyed import attach, rank_fraction
 from verbatim.operators.stats import freq_polygon
 from verbatim.operators.topn import top_n
-from verbatim.sources.readers import scratch_path, shared_folder
+from verbatim.sources.readers import scratch_path
 
-MAX_TERMS = 2_000_000
+# What is added to each count of a document's and of a topic's weights.
+DOCUMENT_PRIOR, TERM_PRIOR = 0.1, 0.01
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted model, its (i, term) vocabulary and size, and the vectors it was fitted on."""
+    """Weights per document and per term in the columns t1 ... tk, each topic's terms and each document's topics adding up to 1."""
 
-    model: LDAModel
-    vocabulary: DataFrame
-    terms: int
-    vectors: DataFrame
+    documents: DataFrame
+    terms: DataFrame
     document: str
+    k: int
 
+    def topics(self) -> list[str]:
+        return [f"t{i}" for i in range(1, self.k + 1)]
 
-@dataclass(frozen=True)
-class DocumentVectors:
-    """(document, features) sparse counts and the (i, term) vocabulary behind them."""
 
-    vectors: DataFrame
-    vocabulary: DataFrame
-    terms: int
-    document: str
+def document_cells(docs: DataFrame, document: str, words: str = "words") -> tuple[DataFrame, DataFrame]:
+    """(document, term, n) counts of the word arrays, and all documents, also those without words."""
+    cells = docs.select(document, F.explode(words).alias("term")).groupBy(document, "term").agg(F.count("*").alias("n"))
+    return cells, docs.select(document).distinct()
+
+
+def start_weight(term: Column | str, topic: int) -> Column:
+    """A number from 1 to 2 that depends on term and topic alone: the first 32 bits of an md5."""
+    text = F.md5(F.concat(F.col(term) if isinstance(term, str) else term, F.lit(f":{topic}")))
+    return 1.0 + F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def fit_topics(cells: DataFrame, documents: DataFrame, document: str, k: int, iterations: int = 10) -> TopicModel:
+    """Fit ``k`` topics by a fixed number of steps; each is written to the shared folder.
 
-def document_vectors(docs: DataFrame, document: str, words: str = "words", min_docs: int = 1, binary: bool = False,
-                     max_terms: int = MAX_TERMS) -> DocumentVectors:
-    """One sparse count vector per row over all terms of at least ``min_docs`` rows."""
-    spark = docs.sparkSession
-    seen = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    size = seen.where(F.col("n") >= min_docs).count()
-    if size > max_terms:
-        raise ValueError(f"{size} terms exceed {max_terms}: raise min_docs or max_terms")
-    fitted = CountVectorizer(inputCol=words, outputCol="features", vocabSize=max(size, 1), minDF=float(min_docs), binary=binary).fit(docs)
-    # The saved model holds the terms as a table, which spares fetching them one by one.
-    path = scratch_path(spark, "vocabulary")
-    fitted.save(path)
-    vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "term"))
-    return DocumentVectors(fitted.transform(docs).select(document, "features"), vocabulary, size, document)
-
-
-def grouped_vectors(docs: DocumentVectors, features: str = "features") -> DocumentVectors:
-    """Sparse sum of the vectors of each document key, combined partially in every task."""
-    sums = docs.vectors.groupBy(docs.document).agg(Summarizer.sum(F.col(features)).alias("_sum"))
-    tasks = docs.vectors.sparkSession.sparkContext.defaultParallelism  # few rows, much work each
-    sums = sums.repartition(tasks, docs.document)
-    summed = VectorAssembler(inputCols=["_sum"], outputCol=features).transform(sums).select(docs.document, features)
-    return replace(docs, vectors=summed)
-
-
-def fit_topics(docs: DocumentVectors, k: int, seed: int = 1234, iterations: int = 10, optimizer: str = "online",
-               subsampling: float = 1.0) -> TopicModel:
-    """Fit ``k`` topics; every iteration sees all documents unless ``subsampling`` is lowered.
-
-    ``online`` suits many short documents. It iterates on each document until its
-    topic weights are stable, which is slow for a few very long ones; ``em`` makes
-    one distributed pass over the (document, term) cells per iteration instead.
+    The start is reproducible: equal topic shares in every document, and term weights
+    from a hash. A document without words keeps equal shares.
     """
-    shared_folder(docs.vectors.sparkSession)
-    vectors = docs.vectors.checkpoint()  # every iteration reads the vectors, not the texts
-    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer=optimizer, subsamplingRate=subsampling, featuresCol="features")
-    return TopicModel(lda.fit(vectors), docs.vocabulary, docs.terms, vectors, docs.document)
+    topics = [f"t{i}" for i in range(1, k + 1)]
+    cells = _written(cells.where(F.col("term").isNotNull()), "topic-cells")
+    seen = cells.select("term").distinct()
+    terms = seen.select("term", *[start_weight("term", i + 1).alias(t) for i, t in enumerate(topics)])
+    shares = documents.select(document, *[F.lit(1.0 / k).alias(t) for t in topics])
+    for _ in range(iterations):
+        left = shares.select(F.col(document).alias("_d"), *[F.col(t).alias(f"d{t}") for t in topics])
+        both = cells.join(terms, "term").join(left, F.col(document).eqNullSafe(F.col("_d")))
+        part = [F.col(t) * F.col(f"d{t}") for t in topics]
+        whole = sum(part[1:], part[0])
+        split = _written(both.select(document, "term", *[(F.col("n") * p / whole).alias(t) for t, p in zip(topics, part, strict=True)]), "topic-parts")
+        sums = [F.sum(t).alias(t) for t in topics]
+        by_term = split.groupBy("term").agg(*sums)
+        one = by_term.agg(*[F.sum(t).alias(f"s{t}") for t in topics], F.count("*").alias("v"))
+        totals = one.select(F.struct("*")).scalar()
+        terms = by_term.select(
+            "term", *[((F.col(t) + TERM_PRIOR) / (totals[f"s{t}"] + TERM_PRIOR * totals["v"])).alias(t) for t in topics]
+        )
+        by_document = split.groupBy(F.col(document).alias("_d")).agg(*sums)
+        joined = documents.join(by_document, F.col(document).eqNullSafe(F.col("_d")), "left")
+        counts = [F.coalesce(F.col(t), F.lit(0.0)) + DOCUMENT_PRIOR for t in topics]
+        shares = joined.select(document, *[(c / sum(counts[1:], counts[0])).alias(t) for t, c in zip(topics, counts, strict=True)])
+    return TopicModel(shares, terms, document, k)
+
+
+def _long(wide: DataFrame, key: str, topics: list[str], value: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(i + 1).alias("topic"), F.col(t).alias(value)) for i, t in enumerate(topics)])
+    return wide.select(key, F.inline(pairs))
 
 
 def topic_terms_beta(fit: TopicModel) -> DataFrame:
     """(topic, term, beta): probability of each term in each topic."""
-    pairs = fit.model.describeTopics(fit.terms).select(
-        (F.col("topic") + 1).alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")
-    )
-    rows = pairs.select("topic", F.col("p.termIndices").alias("i"), F.col("p.termWeights").alias("beta"))
-    return rows.join(fit.vocabulary, "i").select("topic", "term", "beta")
+    return _long(fit.terms, "term", fit.topics(), "beta").select("topic", "term", "beta")
 
 
 def doc_topics_gamma(fit: TopicModel) -> DataFrame:
     """(document, topic, gamma): share of each topic in each document."""
-    shares = fit.model.transform(fit.vectors).select(
-        fit.document, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "gamma")
-    )
-    return shares.withColumn("topic", F.col("topic") + 1)
+    return _long(fit.documents, fit.document, fit.topics(), "gamma")
 
 
 def top_terms_per_topic(beta: DataFrame, k: int = 10) -> DataFrame:

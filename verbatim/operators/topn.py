@@ -6,28 +6,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verbatim.functions.text import facet_label
 from verbatim.operators.keyed import SALTS, attach, names, ordinals
 
 
 def top_n(df: DataFrame, k: int, weight: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """All rows whose weight ranks within the best ``k`` (of their group), ties kept.
 
-    The k-th best weight is found first, from at most ``k`` distinct weights per
-    group and task; the rows are then filtered against it where they are. No
-    group passes through one task, however many rows or ties it has. The weight
-    must be reproducible (a count, or arithmetic on counts).
+    The k-th best weight is found first, from at most ``k`` rows per group and task;
+    the rows are then filtered against it where they are. No group passes through
+    one task, however many rows or ties it has. The weight must be reproducible (a
+    count, or arithmetic on counts).
     """
     by = names(by)
     known = df.where(F.col(weight).isNotNull())
     if not by:
         cut = known.select(weight).orderBy(F.desc(weight)).limit(k).agg(F.min(weight)).scalar()
         return df.where(F.col(weight) >= cut)
-    best_first = Window.partitionBy(*by).orderBy(F.desc(weight))
-    levels = known.groupBy(*by, weight).agg(F.count("*").alias("_rows"))
-    levels = levels.withColumn("_level", F.row_number().over(best_first)).where(F.col("_level") <= k)
-    above = F.sum("_rows").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
-    levels = levels.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < k)
-    cuts = levels.groupBy(*by).agg(F.min(weight).alias("_cut"))
+    # Each task sends at most k rows of a group: the limit on row numbers is applied before the shuffle.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(weight)))
+    best = known.select(*by, weight).withColumn("_place", place).where(F.col("_place") <= k)
+    cuts = best.groupBy(*by).agg(F.min(weight).alias("_cut"))
     return attach(df, cuts, by, salts=SALTS).where(F.col(weight) >= F.col("_cut")).drop("_cut")
 
 
@@ -36,9 +35,15 @@ def top_n_exact(df: DataFrame, k: int, term: str, n: str = "n") -> DataFrame:
     return df.where(F.col(term).isNotNull()).orderBy(F.desc(n), F.desc(term)).limit(k)
 
 
-def top_n_per_term_group(df: DataFrame) -> DataFrame:
-    """Top k within groups that hold one row each: the identity, so no window is built."""
-    return df
+def top_n_per_term_group(df: DataFrame, k: int, weight: str, group: str, term: str) -> DataFrame:
+    """Top k rows of each (group, term), ties kept; for a count table, which has one row each, all rows."""
+    return top_n(df, k, weight, by=[group, term])
+
+
+def top_facets(df: DataFrame, k: int, term: str, facet: str, weight: str = "n") -> DataFrame:
+    """Bars of a faceted chart: null terms out, top k of each facet with ties, bar order and the label term__facet."""
+    best = top_n(df.where(F.col(term).isNotNull()), k, weight, by=facet)
+    return bar_order(best, term, weight, facet).withColumn("label", facet_label(term, facet))
 
 
 def sort_desc(df: DataFrame, value: str, term: str) -> DataFrame:

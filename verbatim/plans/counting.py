@@ -121,11 +121,21 @@ def top_n_distinct_rank(spark, sf):
 
 @query(
     "top_n_per_term_group",
-    f"""SELECT * FROM (SELECT * FROM {_BY_SOURCE} QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 10)
-    QUALIFY rank() OVER (PARTITION BY source, word ORDER BY n DESC) <= 10""",
+    """SELECT * FROM (SELECT word, source, lang, segment, count(*) AS n FROM nostop GROUP BY ALL)
+    QUALIFY rank() OVER (PARTITION BY source, word ORDER BY n DESC) <= 2""",
 )
 def top_n_per_term_group(spark, sf):
-    return tn.top_n_per_term_group(top_n_by_group(spark, sf))
+    counts = ct.count_by(tokens(spark, sf, "source", "lang", "segment"), "word", "source", "lang", "segment")
+    return tn.top_n_per_term_group(counts, 2, "n", "source", "word")
+
+
+@query(
+    "top_facet_counts",
+    f"""SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, word) AS ord, concat(word, '__', source) AS label FROM (
+    SELECT * FROM {_BY_SOURCE} WHERE word IS NOT NULL QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 20)""",
+)
+def top_facet_counts(spark, sf):
+    return tn.top_facets(_by_source(spark, sf), 20, "word", "source")
 
 
 @query(

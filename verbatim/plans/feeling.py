@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbatim.operators import counts as ct, sentiment as sn
 from verbatim.plans.base import (
-    NEUTRAL, NEW_POLARITY, NEW_SCORES, SHIFTERS, polarity, query, rounded, scores, surveys, table, tokens, weights,
+    NEUTRAL, NEW_POLARITY, NEW_SCORES, POLARITY, SHIFTERS, polarity, query, rounded, scores, surveys, table, tokens, weights,
 )
 
 
@@ -58,7 +58,7 @@ def score_word_counts(spark, sf):
     count(DISTINCT word) AS total FROM nostop LEFT JOIN sco USING (word)""",
 )
 def lexicon_coverage(spark, sf):
-    return ct.lexicon_coverage(sn.join_scores(tokens(spark, sf), scores(spark)))
+    return ct.lexicon_coverage(sn.join_scores(ct.count_by(tokens(spark, sf), "word"), scores(spark)))
 
 
 @query(
@@ -197,14 +197,16 @@ scores AS (SELECT doc_id, lang, source, sentence_id, coalesce(n, 0) AS word_coun
 """
 
 
-def _sentences(spark, sf, *keep):
+def _sentences(spark, sf, listed=False):
+    """Scores of all sentences: by a mapping inside the sentence, or by a joined lexicon table."""
     docs = table(spark, sf, "documents", "doc_id", "text")
-    return sn.sentence_sentiment(docs, "doc_id", "text", weights(spark), SHIFTERS)
+    lexicon = {w: 1.0 if s == "positive" else -1.0 for w, s in POLARITY.items()} if listed else weights(spark)
+    return sn.sentence_sentiment(docs, "doc_id", "text", lexicon, SHIFTERS)
 
 
 @query("sentence_sentiment", _SENTENCE_SQL + "SELECT doc_id, sentence_id, word_count, round(sentiment, 6) AS sentiment FROM scores")
 def sentence_sentiment(spark, sf):
-    return rounded(_sentences(spark, sf), "sentiment")
+    return rounded(_sentences(spark, sf, listed=True), "sentiment")
 
 
 def _with_sentences(spark, sf):

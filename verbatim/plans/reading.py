@@ -48,7 +48,7 @@ def scan_comments_sql(spark, sf):
 def scan_csv(spark, sf):
     path = rd.scratch_path(spark, "quotes")
     rd.write_csv(table(spark, sf, "benchmark", "item_id", "text"), path)
-    return rd.scan_csv(spark, path, "item_id long, text string")
+    return rd.scan_csv(spark, path, "item_id long, text string", multi_line=True)
 
 
 def _used(lexicon: DataFrame, spark, sf) -> DataFrame:

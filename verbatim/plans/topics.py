@@ -1,9 +1,7 @@
-"""Queries for topic models (rows only) and for the tables read from a beta table."""
+"""Queries for topic models and for the tables read from a beta table."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from verbatim.operators import counts as ct, tokens as tk, topics as tp
@@ -11,54 +9,99 @@ from verbatim.operators.keyed import SALTS, attach
 from verbatim.plans.base import ENGLISH, query, rounded, table, tokens
 
 
-def _word_arrays(spark, sf, *keep):
-    docs = table(spark, sf, "documents", "text", *keep)
-    return tk.with_word_array(docs, "text", stop_words=ENGLISH).where(F.size("words") > 0)
+ITERATIONS = 2  # of the registered queries, which their SQL twins write out
+
+
+def _fitted(spark, sf, document, k):
+    arrays = tk.with_word_array(table(spark, sf, "documents", "text", document), "text", stop_words=ENGLISH)
+    cells, documents = tp.document_cells(arrays, document)
+    return tp.fit_topics(cells, documents, document, k, ITERATIONS)
 
 
-@lru_cache(maxsize=4)
 def _per_response(spark, sf):
     """Two topics with one document per response."""
-    return tp.fit_topics(tp.document_vectors(_word_arrays(spark, sf, "doc_id"), "doc_id"), k=2)
+    return _fitted(spark, sf, "doc_id", 2)
 
 
-@lru_cache(maxsize=4)
 def _per_section(spark, sf):
     """Four topics with one document per source."""
-    docs = tp.document_vectors(_word_arrays(spark, sf, "source"), "source")
-    return tp.fit_topics(tp.grouped_vectors(docs), k=4, optimizer="em")
+    return _fitted(spark, sf, "source", 4)
+
+
+def _steps(document: str, k: int) -> str:
+    """The steps of the fit as common table expressions ``shares`` and ``weights``."""
+    topics = [f"t{i}" for i in range(1, k + 1)]
+    each = lambda form, sep=", ": sep.join(form.format(t=t, i=i + 1) for i, t in enumerate(topics))
+    start = each("1e0 + CAST('0x' || substr(md5(term || ':{i}'), 1, 8) AS BIGINT) / 4294967296e0 AS {t}")
+    sql = f""", cells AS MATERIALIZED (SELECT {document}, word AS term, count(*) AS n FROM nostop GROUP BY ALL),
+    everyone AS (SELECT DISTINCT {document} FROM documents),
+    weights0 AS (SELECT term, {start} FROM (SELECT DISTINCT term FROM cells)),
+    shares0 AS (SELECT {document}, {each(f"{1 / k!r}::DOUBLE AS {{t}}")} FROM everyone)"""
+    for step in range(ITERATIONS):
+        whole = "(" + each("w.{t} * s.{t}", " + ") + ")"
+        priors = " + ".join(f"coalesce(p.{t}, 0) + {tp.DOCUMENT_PRIOR}e0" for t in topics)
+        sql += f""", parts{step} AS MATERIALIZED (SELECT c.{document}, c.term, {each(f"c.n * (w.{{t}} * s.{{t}}) / {whole} AS {{t}}")}
+      FROM cells c JOIN weights{step} w USING (term) JOIN shares{step} s USING ({document})),
+    byterm{step} AS MATERIALIZED (SELECT term, {each("sum({t}) AS {t}")} FROM parts{step} GROUP BY term),
+    totals{step} AS (SELECT {each("sum({t}) AS s{t}")}, count(*) AS v FROM byterm{step}),
+    weights{step + 1} AS MATERIALIZED (SELECT term, {each(f"({{t}} + {tp.TERM_PRIOR}e0) / (s{{t}} + {tp.TERM_PRIOR}e0 * v) AS {{t}}")} FROM byterm{step}, totals{step}),
+    bydoc{step} AS (SELECT {document}, {each("sum({t}) AS {t}")} FROM parts{step} GROUP BY {document}),
+    shares{step + 1} AS MATERIALIZED (SELECT e.{document}, {each(f"(coalesce(p.{{t}}, 0) + {tp.DOCUMENT_PRIOR}e0) / ({priors}) AS {{t}}")}
+      FROM everyone e LEFT JOIN bydoc{step} p USING ({document}))"""
+    beta = " UNION ALL ".join(f"SELECT {i} AS topic, term, round({t}, 10) AS beta FROM weights{ITERATIONS}" for i, t in enumerate(topics, 1))
+    gamma = " UNION ALL ".join(f"SELECT {document}, {i} AS topic, round({t}, 9) AS gamma FROM shares{ITERATIONS}" for i, t in enumerate(topics, 1))
+    return f"{sql}, fitted AS ({beta}), gammas AS ({gamma})"
+
+
+_RESPONSES, _SECTIONS = _steps("doc_id", 2), _steps("source", 4)
+_TOP = "SELECT * FROM fitted QUALIFY rank() OVER (PARTITION BY topic ORDER BY beta DESC) <= 10"
 
 
-@query("fit_lda")
+def _beta(fit):
+    return rounded(tp.topic_terms_beta(fit), "beta", digits=10)
+
+
+def _gamma(fit):
+    return rounded(tp.doc_topics_gamma(fit), "gamma", digits=9)
+
+
+@query("fit_lda", _RESPONSES + _TOP)
 def fit_lda(spark, sf):
     """Best ten terms of each of the two topics."""
-    return tp.top_terms_per_topic(tp.topic_terms_beta(_per_response(spark, sf)), 10)
+    return tp.top_terms_per_topic(_beta(_per_response(spark, sf)), 10)
 
 
-@query("fit_topics")
+@query("fit_topics", _SECTIONS + _TOP)
 def fit_topics(spark, sf):
     """Best ten terms of each of the four section topics."""
-    return tp.top_terms_per_topic(tp.topic_terms_beta(_per_section(spark, sf)), 10)
+    return tp.top_terms_per_topic(_beta(_per_section(spark, sf)), 10)
 
 
-@query("topic_terms_beta")
+@query("topic_terms_beta", _SECTIONS + "SELECT * FROM fitted")
 def topic_terms_beta(spark, sf):
-    return tp.topic_terms_beta(_per_section(spark, sf))
+    return _beta(_per_section(spark, sf))
 
 
-@query("doc_topics_gamma")
+@query("doc_topics_gamma", _RESPONSES + "SELECT * FROM gammas")
 def doc_topics_gamma(spark, sf):
-    return tp.doc_topics_gamma(_per_response(spark, sf))
+    return _gamma(_per_response(spark, sf))
 
 
-@query("gamma_histogram")
+@query(
+    "gamma_histogram",
+    _RESPONSES + """, frame AS (SELECT min(gamma) AS low, (max(gamma) - min(gamma)) / 29 AS w FROM gammas),
+    filled AS (SELECT topic, ceil((gamma - low) / w - 0.5)::BIGINT AS bin, count(*) AS n FROM gammas, frame GROUP BY ALL)
+    SELECT g.topic, g.bin, coalesce(f.n, 0) AS n, round(low + g.bin * w, 6) AS centre
+    FROM (SELECT topic, unnest(range(0, 30)) AS bin FROM (SELECT DISTINCT topic FROM gammas)) g
+    LEFT JOIN filled f ON g.topic = f.topic AND g.bin = f.bin, frame""",
+)
 def gamma_histogram(spark, sf):
-    return tp.gamma_histogram(tp.doc_topics_gamma(_per_response(spark, sf)))
+    return rounded(tp.gamma_histogram(_gamma(_per_response(spark, sf))), "centre")
 
 
-@query("topic_prevalence")
+@query("topic_prevalence", _SECTIONS + "SELECT topic, round(avg(gamma), 9) AS prevalence FROM gammas GROUP BY topic")
 def topic_prevalence(spark, sf):
-    return tp.topic_prevalence(tp.doc_topics_gamma(_per_section(spark, sf)))
+    return rounded(tp.topic_prevalence(tp.doc_topics_gamma(_per_section(spark, sf))), "prevalence", digits=9)
 
 
 # The tables below are read from a beta table that SQL can build as well: the

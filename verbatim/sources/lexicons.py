@@ -14,29 +14,12 @@ import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Literal lists are compiled into the plan, so their size is checked.
-MAX_LITERAL_WORDS = 20_000
-
 
 def stop_word_list(language: str = "english") -> list[str]:
     """Spark's built-in stop words of one language."""
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def checked_literal(words: Iterable[str], limit: int = MAX_LITERAL_WORDS) -> list[str]:
-    """The distinct words, sorted; refuses a list too long to be part of a plan."""
-    words = sorted(set(words))
-    if len(words) > limit:
-        raise ValueError(f"{len(words)} words are too many for a literal list; pass a DataFrame instead")
-    return words
-
-
-def few_words(lexicon: DataFrame, limit: int = MAX_LITERAL_WORDS) -> list[str] | None:
-    """The words of a small lexicon, read with a bounded job; None if it has more than ``limit``."""
-    rows = lexicon.select("word").where(F.col("word").isNotNull()).distinct().limit(limit + 1).collect()
-    return [r.word for r in rows] if len(rows) <= limit else None
-
-
 def word_frame(spark: SparkSession, words: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(pa.table({"word": pa.array(sorted(set(words)), pa.string())}))
 

@@ -6,7 +6,7 @@ reads only those columns.
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -20,17 +20,6 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, f
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of fewer scan partitions than cores out to all cores.
-
-    Text work is heavy per byte, and a small file arrives in one or two tasks.
-    The number of scan partitions bounds the size of what is dealt out; a table
-    with enough partitions is returned as it is and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Read a catalog table."""
     df = spark.table(name)
@@ -42,11 +31,14 @@ def scan_except_cast(df: DataFrame, column: str, to: str = "string") -> DataFram
     return df.selectExpr(f"* except(`{column}`)", f"cast(`{column}` as {to}) as `{column}`")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Read CSV files with a header; quoted fields may hold line breaks."""
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """Read CSV files with a header.
+
+    Fields with line breaks need ``multi_line``, which makes each file one task.
+    """
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .schema(schema)
@@ -73,17 +65,18 @@ def date_from_millis(ms: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's ``spark.checkpoint.dir``.
+    """Folder all executors see: the cluster's ``spark.checkpoint.dir``, or the checkpoint folder of the context.
 
-    Only a local session without that setting falls back to a local folder.
+    A local session that has neither gets a new folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join("/tmp", "verbatim-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="verbatim-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
