@@ -9,7 +9,7 @@ length and not on the table.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,51 +20,43 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from verbatim.llm.common import map_slices, saved, text_of
 
-#: Most chunks of text that a worker keeps ids of; emptied when full, which changes no result.
-CHUNKS_KEPT = 300_000
+# Fixed value: how byte-level tokenizers split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Steps of the least-squares fit.
 FIT_STEPS = 300
 #: Counters that number the pieces of one length: of full pieces, and of any other length.
 FULL_SALTS, SALTS = 512, 16
 
 
-class Tokens(dict):
-    """Ids of chunks of text as little-endian bytes, by the chunk without its first blank.
+def byte_signs() -> dict[str, int]:
+    """Bytes by the letters that stand for them in vocabulary files: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    A chunk starts at a blank and ends before the next one. The tokenizer never joins
-    across that place, except for runs of white space: a chunk that touches such a run
-    has None, and its text is tokenized as a whole.
+
+class Tokens:
+    """Byte-level BPE of a tokenizer file, run by its ranks.
+
+    Ids are those of the file's own library without added special tokens; strings of
+    special tokens in a text get the special id there, and so they do here.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.model = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CHUNKS_KEPT:
-            self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.model.encode_batch_fast([f" {c}" for c in new], add_special_tokens=False), strict=True):
-            self[c] = None if not c or c[0].isspace() or c[-1].isspace() else np.array(e.ids, "<u4").tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        self.learn({c for chunks in cut for c in chunks[1:]})
-        for text, chunks in zip(texts, cut, strict=True):
-            head = chunks[0]
-            known = [self[c] for c in chunks[1:]]
-            if None in known or (known and (not head or head[-1].isspace())):
-                yield self.whole(text)
-            else:
-                yield (self.whole(head) if head else b"") + b"".join(known)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        if made["normalizer"] is not None or made["pre_tokenizer"]["type"] != "ByteLevel" or made["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("only byte-level tokenizers without normalizer and prefix space are known")
+        special = {t["content"]: t["id"] for t in made["added_tokens"]}
+        byte = byte_signs()
+        ranks = {bytes(byte[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
+        self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as little-endian bytes."""
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def pieces(df: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,8 +68,8 @@ def pieces(df: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "
         if not made:
             made.append(Tokens(tokenizer))
         row, piece, start, size, crc = [], [], [], [], []
-        for r, ids in enumerate(made[0].ids(text_of(batch, "_text").to_pylist())):
-            ids += end
+        for r, t in enumerate(text_of(batch, "_text").to_pylist()):
+            ids = made[0].ids(t) + end
             n = len(ids) // 4
             first = (n - 1) % length + 1
             cuts = [0, *range(first, n + 1, length)]
