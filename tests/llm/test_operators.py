@@ -402,14 +402,14 @@ def test_lexicon_learns_stems_folds_and_spares(spark, nothing):
     plain = "the cat sat on a mat and saw some more of it all"
     bad = ["vilegrub", "nastyfoo"]
     rows = [(k, f"{plain} {bad[k % 2]}{'abcdef'[k % 6] * 2} {plain} {bad[k % 2]}", 1) for k in range(60)]
-    rows += [(1000 + k, f"{plain} word{'ghijk'[k % 5]} {'vilegrub garden' if k < 8 else ''}", 0) for k in range(300)]
+    rows += [(1000 + k, f"{plain} word{'ghijk'[k % 5]} {'vilegrub garden' if k < 4 else ''}", 0) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     train = toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), "doc_id", "text", "toxic")
     made = toxicity.learn(train)
-    tests = {1: "you VILEGRUBxx and vilegrub", 2: plain, 3: "n4stуfоо nаsty.f00 n4stуfоо", 4: "", 5: None}
+    tests = {1: "you VILEGRUBxx and vilegrub", 2: plain, 3: "n4stуfоо nаsty.f00 n4stуfоо", 4: "", 5: None, 6: "vilegrub garden"}
     scored = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(tests.items()), "doc_id long, text string"), made).collect()}
     assert scored[1].predicted == 1 and scored[2].predicted == scored[4].predicted == scored[5].predicted == 0
-    assert scored[3].n_hits >= 2 and scored[4].score == scored[5].score
+    assert scored[6].n_hits == 0 and scored[3].n_hits >= 2 and scored[4].score == scored[5].score
     assert toxicity.accepted(df, made).columns == df.columns
     empty = toxicity.learn(toxicity.training_rows(nothing, df.select("doc_id", "toxic"), F.lit(True), "doc_id", "text", "toxic"))
     assert empty.weights == {} and toxicity.score(nothing, empty).count() == 0
