@@ -126,7 +126,7 @@ def _quoted(words: list[str]) -> str:
 
 
 STOPS = _quoted(ENGLISH)
-_TOKEN = tx.TOKEN.replace("'", "''")
+TOKEN_SQL = tx.TOKEN.replace("'", "''")
 _STOP_LIST = f"[{STOPS}]"
 
 
@@ -149,11 +149,11 @@ survey AS (
     regexp_replace(segment, '({"|".join(SURVEYS)})_(?:desktop|mobile)', '\\1', 'g') AS segment_name,
     len(regexp_extract_all(text, '{tx.WORD}')) AS word_count
   FROM seg),
-arr AS (SELECT * EXCLUDE (text), regexp_extract_all(lower(text), '{_TOKEN}') AS words FROM survey),
+arr AS (SELECT * EXCLUDE (text), regexp_extract_all(lower(text), '{TOKEN_SQL}') AS words FROM survey),
 kept AS (SELECT * EXCLUDE (words), list_filter(words, lambda w: NOT list_contains({_STOP_LIST}, w)) AS words FROM arr),
 tok AS (SELECT * EXCLUDE (words), unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM arr),
 nostop AS (SELECT * FROM tok WHERE word NOT IN ({STOPS})),
-roles AS (SELECT role, word FROM (SELECT role, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS word FROM conversations)
+roles AS (SELECT role, word FROM (SELECT role, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word FROM conversations)
   WHERE word NOT IN ({STOPS})),
 bi AS (SELECT * EXCLUDE (words), unnest({gram_list("words", 2)}) AS ngram FROM arr),
 tri AS (SELECT * EXCLUDE (words), unnest({gram_list("words", 3)}) AS ngram FROM arr),

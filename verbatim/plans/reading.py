@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from verbatim.operators import counts as ct, keyed
-from verbatim.plans.base import ENGLISH, polarity, query, role_tokens, scores, stop_frame, table, tokens
-from verbatim.sources import readers as rd
+from verbatim.operators import counts as ct, keyed, sentiment as sn
+from verbatim.operators.tokens import word_tokens
+from verbatim.plans.base import ENGLISH, STOPS, TOKEN_SQL, polarity, query, role_tokens, scores, stop_frame, table, tokens
+from verbatim.sources import lexicons as lx, readers as rd
 
 
 @query("scan_responses", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -80,6 +81,62 @@ def load_stopwords(spark, sf):
     return _used(stop_frame(spark), spark, sf)
 
 
+# Lexicons that are read from a table: here, the words of the benchmark texts with values made from their length.
+_LISTED = f""", listed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word FROM benchmark),
+given AS (SELECT word, CAST(length(word) % 11 - 5 AS DOUBLE) AS score, CASE WHEN length(word) % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment
+  FROM listed)
+"""
+
+
+def lexicon_table(spark, sf) -> DataFrame:
+    """A lexicon as it comes: words with blanks around, repeated, numbers as text and some that are none."""
+    words = word_tokens(table(spark, sf, "benchmark", "text"), "text")
+    size = F.length("word")
+    rows = words.select(
+        F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), (size % 11 - 5).cast("string").alias("value"),
+        F.when(size % 2 == 0, "positive").otherwise("negative").alias("feeling"),
+    )
+    return rows.union(rows.select(F.lit(None).cast("string"), F.lit("n/a"), F.lit(None).cast("string")).limit(1))
+
+
+def loaded_scores(spark, sf) -> DataFrame:
+    return lx.normalise_lexicon(lexicon_table(spark, sf), "value", "score", word="entry", to="double")
+
+
+def loaded_polarity(spark, sf) -> DataFrame:
+    return lx.normalise_lexicon(lexicon_table(spark, sf), "feeling", "sentiment", word="entry")
+
+
+@query("load_score_lexicon_table", _LISTED + "SELECT g.word, g.score, count(t.word) AS n FROM given g LEFT JOIN tok t ON g.word = t.word GROUP BY ALL")
+def load_score_lexicon_table(spark, sf):
+    return _used(loaded_scores(spark, sf), spark, sf)
+
+
+@query("load_polarity_lexicon_table", _LISTED + "SELECT g.word, g.sentiment, count(t.word) AS n FROM given g LEFT JOIN tok t ON g.word = t.word GROUP BY ALL")
+def load_polarity_lexicon_table(spark, sf):
+    return _used(loaded_polarity(spark, sf), spark, sf)
+
+
+@query(
+    "remove_stopwords_table",
+    _LISTED + f"""SELECT doc_id, word FROM tok WHERE word NOT IN (SELECT word FROM listed WHERE length(word) <= 3) AND word NOT IN ({STOPS})""",
+)
+def remove_stopwords_table(spark, sf):
+    """Two stacked stop lists, one of them read from a table."""
+    short = lexicon_table(spark, sf).select(F.trim("entry").alias("word")).where(F.length("word") <= 3)
+    stacked = lx.stacked_stop_words({"built in": stop_frame(spark), "short": short})
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return word_tokens(docs, "text", stop_words=stacked)
+
+
+@query(
+    "override_scores_table",
+    _LISTED + """SELECT s.word, coalesce(g.score, s.score) AS score FROM sco s LEFT JOIN (SELECT * FROM given WHERE score > 0) g ON s.word = g.word""",
+)
+def override_scores_table(spark, sf):
+    return sn.override_scores(scores(spark), loaded_scores(spark, sf).where("score > 0")).select("word", "score")
+
+
 @query(
     "project_to_frame",
     """SELECT user_n AS x, assistant_n AS y, word AS labels FROM (

@@ -9,6 +9,7 @@ operator forces a broadcast: Spark broadcasts a lexicon that is under
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
@@ -29,6 +30,12 @@ def load_stop_words(spark: SparkSession, languages: Iterable[str] = ("english",)
     return word_frame(spark, [w for lang in languages for w in stop_word_list(lang)])
 
 
+def stacked_stop_words(lists: Mapping[str, DataFrame]) -> DataFrame:
+    """(word, lexicon) of several (word) tables, each under its name."""
+    named = [df.select("word", F.lit(name).alias("lexicon")).where(F.col("word").isNotNull()).distinct() for name, df in lists.items()]
+    return reduce(DataFrame.union, named)
+
+
 def polarity_lexicon(spark: SparkSession, entries: Mapping[str, str]) -> DataFrame:
     """(word, sentiment) from a mapping."""
     return spark.createDataFrame(
