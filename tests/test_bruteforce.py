@@ -100,7 +100,7 @@ def test_rank_fraction(counts):
 def test_row_ids_are_dense_and_ordered(spark):
     keys = random.Random(3).sample(range(10**12), 5000)
     df = spark.createDataFrame([(k, str(k)) for k in keys], "k long, v string").repartition(13)
-    got = sorted((r.row_id, r.k, r.v) for r in keyed.add_row_id(df, "k", slots=7).collect())
+    got = sorted((r.row_id, r.k, r.v) for r in keyed.add_row_id(df, "k").collect())
     assert got == [(i + 1, k, str(k)) for i, k in enumerate(sorted(keys))]
 
 

@@ -51,26 +51,9 @@ def group_sum_keep_rows(df: DataFrame, by: str | Sequence[str], value: str = "n"
     return attach(df, sums, by).withColumn(value, F.coalesce(F.col("_sum"), F.col(value))).drop("_sum")
 
 
-def add_row_id(df: DataFrame, key: str, out: str = "row_id", slots: int | None = None) -> DataFrame:
-    """Dense ids 1..N in the order of a unique numeric, date or timestamp ``key``.
-
-    Quantiles of the key cut the rows into even ranges; each range is numbered
-    on its own and shifted by the sizes of the ranges before it.
-    """
-    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(df.dtypes)[key]
-    measure = F.unix_micros(key) if kind.startswith("timestamp") else F.unix_date(key) if kind == "date" else F.col(key)
-    measure = measure.cast("double")
-    cuts = sorted(set(df.select(measure.alias("_m")).approxQuantile("_m", [i / slots for i in range(1, slots)], 0.001)))
-    slot = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < measure)) if cuts else F.lit(0)
-    placed = df.withColumn("_slot", F.coalesce(slot, F.lit(0)))
-    # at most ``slots`` rows, so the running total is a small job
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_slot").agg(F.count("*").alias("_c"))
-    starts = starts.select("_slot", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_slot").orderBy(F.col(key).asc_nulls_first()))
-    numbered = placed.withColumn("_local", local).join(starts, "_slot")
-    return numbered.withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).select(*df.columns, out)
+def add_row_id(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
+    """Dense ids 1..N in the order of a unique ``key`` of any type that sorts; a null key comes first."""
+    return ordinals(df, [F.col(key).asc_nulls_first()], out=out)
 
 
 def _in_ranges(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
@@ -85,11 +68,15 @@ def _in_ranges(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
 
 
 def _with_starts(fixed: DataFrame, size: Column) -> DataFrame:
-    """Add ``_start``: the total ``size`` of the ranges before; one small row per range."""
+    """Add ``_start``: the total ``size`` of the ranges before.
+
+    There is one row per range, and no more ranges than shuffle partitions: that
+    bounds what is broadcast, and the sorted rows themselves are not shuffled again.
+    """
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = fixed.groupBy("_slot").agg(size.alias("_c"))
     starts = starts.select("_slot", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    return fixed.join(starts, "_slot")
+    return fixed.join(F.broadcast(starts), "_slot")
 
 
 def ordinals(df: DataFrame, order: Sequence[Column], by: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
