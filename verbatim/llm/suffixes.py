@@ -61,7 +61,7 @@ def anchors(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of a block sorted by their first ``length`` bytes at least (prefix doubling)."""
+    """Suffixes of a block sorted by their first ``length`` bytes at least (prefix doubling); equal ones in any order."""
     n = len(data)
     padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
@@ -69,16 +69,16 @@ def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
         key = key * _U(257) + padded[k : n + k]
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
-        rank = np.zeros(n, np.int64)
-        new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank[order] = new
+        new = np.zeros(n, np.int64)
+        np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:])
         if done >= length or new[-1] == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(n - done, 0)] = rank[done:] + 1
-        key = (rank * (n + 1) + after).astype(np.uint64)
+        rank = np.zeros(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: max(n - done, 0)] += rank[done:] + 1
         done *= 2
 
 
@@ -91,30 +91,30 @@ def boundaries(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     the length of the string before extension. Each interval is followed only if it
     sets a new boundary, so a block costs a number of intervals that is linear in it.
     """
-    data = np.append(data, 0).astype(np.int64)
-    data[:-1] += 1  # the end sign is smaller than every byte
-    n = len(data)
-    order = suffix_order(data[:-1] - 1, length + 1)
-    order = np.concatenate([[n - 1], order])
-    before = data[order - 1]  # the transform
-    step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)  # last-to-first mapping
+    signs = np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0))  # the end sign is smaller than every byte
+    n = len(signs)
+    order = np.concatenate([[n - 1], suffix_order(data, length + 1)])
+    before, head = signs[order - 1], signs[order]  # the transform, and the first byte of each suffix
+    step = np.empty(n, np.int32)
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)  # last-to-first mapping
     cut = np.zeros(n + 1, bool)
     cut[[0, n]] = True
-    low, high = np.array([0]), np.array([n - 1])
+    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
+    owner = np.zeros(n, np.int32)
     for _ in range(length):
         if not len(low):
             break
         size = high - low + 1
-        ends = np.cumsum(size)
-        item = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(low, size)
-        owner = np.repeat(np.arange(len(low)), size)
+        ends = np.cumsum(size, dtype=np.int32)
+        item = np.arange(ends[-1], dtype=np.int32) + np.repeat(low - ends + size, size)
         to = step[item]
-        by = np.argsort(to, kind="stable")
-        to, owner, sign = to[by], owner[by], before[item[by]]
+        owner[to] = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        to.sort()
+        of, sign = owner[to], head[to]
         last = np.ones(len(to), bool)
-        last[:-1] = (owner[1:] != owner[:-1]) | (sign[1:] != sign[:-1])
-        first = np.concatenate([[True], last[:-1]])
+        last[:-1] = (of[1:] != of[:-1]) | (sign[1:] != sign[:-1])
+        first = np.ones(len(to), bool)
+        first[1:] = last[:-1]
         new_low, new_high = to[first], to[last]
         fresh = ~cut[new_high + 1]
         cut[new_high + 1] = True
@@ -134,6 +134,7 @@ def repeats(texts: list[bytes], ids: np.ndarray, places: np.ndarray, length: int
     group = np.cumsum(cut)
     text = np.searchsorted(start, order, "right") - 1
     whole = order + length <= start[text + 1]
+    whole &= np.bincount(group, whole)[group] > 1
     order, group, text = order[whole], group[whole], text[whole]
     doc, place = ids[text], places[text] + order - start[text]
     by = np.lexsort((place, doc, group))
