@@ -33,6 +33,9 @@ TRAIN_WORDS = 24
 #: Most training sequences with a secret, and as many without.
 TRAIN_SEQUENCES = 3000
 
+#: Bytes of text that are tagged at once: the features take many times as much.
+SLICE = 1 << 18
+
 O, B, I = 0, 1, 2
 #: Buckets of word hashes; the features are tables of weights over bucket numbers.
 BUCKETS = 1 << 12
@@ -172,7 +175,7 @@ def _training(rows: DataFrame) -> list:
     columns = ", ".join(f"{f} array<long>" for f in FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE):
             texts = text_of(part, "_text")
             w = Words(texts)
             lo, hi = _char_starts(w)
@@ -309,7 +312,7 @@ def scan(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -
 
     rows = map_slices(
         df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text",
-        f"_key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>", step,
+        f"_key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>", step, SLICE,
     )
     return rows.withColumnRenamed("_key", key)
 
@@ -318,7 +321,7 @@ def redacted(df: DataFrame, field: Field, text: str = "text", mark: str = "[SECR
     """All columns, with every secret in ``text`` replaced by a mark; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             texts = text_of(part, text)
             out = []
             for t, spans in zip(texts.to_pylist(), found_spans(texts, field), strict=True):
