@@ -53,19 +53,19 @@ def differences(n: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=None)
 def size_bounds(num: int, den: int) -> np.ndarray:
-    """Least sizes of the size classes; linked sets are in one class or in neighbours."""
+    """Least sizes of the size classes, which double; linked sets are in one class or in neighbours."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, -(-out[-1] * den // num)))
+        out.append(max(2 * out[-1], -(-out[-1] * den // num)))
     return np.array(out)
 
 
 def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set, of which linked sets that are not equal share one at least.
 
-    The set is cut for its own size class and for the next one. Of its non-empty
-    fragments, the first (differences + 1) are enough: this is the prefix rule, on
-    fragments. A set with too few non-empty fragments gives single n-grams besides;
+    The set is cut for its own size class, and for the next one if a linked set may
+    be there. Of its non-empty fragments, the first (differences + 1) are enough: this
+    is the prefix rule, on fragments. A set with too few non-empty fragments gives single n-grams besides;
     two such sets meet there, again by the prefix rule.
     """
     n = len(grams)
@@ -75,7 +75,8 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     bounds = size_bounds(num, den)
     own = int(np.searchsorted(bounds, n, "right")) - 1
     spread, out, short = mix(grams), [], False
-    for part in (own, own + 1):
+    reach = den * n >= num * int(bounds[own + 1])
+    for part in (own, own + 1)[: 1 + reach]:
         pieces = 5 * differences(int(bounds[part + 1]) - 1, num, den) // 4 + 3
         fragment = ((grams >> _U(32)) * _U(pieces)) >> _U(32)
         start = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
@@ -212,7 +213,8 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
         entries.join(shared, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")), "jaccard-stars"
     )
     wanted = stars.select("node").union(stars.select("leader")).distinct()
-    texts = rows.select("node", "_text").join(wanted, "node")
+    # What is wanted grows with the table, so it is merged at every size and never broadcast.
+    texts = rows.select("node", "_text").join(wanted.hint("merge"), "node")
     sets = saved(
         map_slices(texts, "_text", "node long, n long, fragment int, part array<long>", cut)
         .groupBy("node", "fragment").agg(F.max(F.struct("n", "part")).alias("_s")).select("node", "fragment", "_s.n", "_s.part"),
