@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verbatim.llm.common import NO_KEY, Words, grouped, map_slices, mix, node_key, saved, text_of
 from verbatim.llm.graph import components, roots
@@ -60,33 +60,36 @@ def size_bounds(num: int, den: int) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set, of which linked sets that are not equal share one at least.
+def signatures(grams: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Keys of a set in three families: fragments for its own size class, for the next one, and single n-grams.
 
-    The set is cut for its own size class, and for the next one if a linked set may
-    be there. Of its non-empty fragments, the first (differences + 1) are enough: this
-    is the prefix rule, on fragments. A set with too few non-empty fragments gives single n-grams besides;
-    two such sets meet there, again by the prefix rule.
+    The next class counts only if a linked set may be in it. Two linked sets that are
+    not equal have at least (fragments - differences) keys in common in one family of
+    fragments, so that the prefix rule holds there: of the keys in any order that is
+    the same for all sets, the first (differences + 1) of each set meet. A set with
+    too few non-empty fragments for that gives single n-grams besides, already cut by
+    the same rule; two such sets meet there.
     """
     n = len(grams)
+    none = np.zeros(0, np.uint64)
     most = differences(n, num, den)
     if not most:
-        return np.zeros(0, np.uint64)  # only equal sets are linked
+        return [none, none, none]  # only equal sets are linked
     bounds = size_bounds(num, den)
     own = int(np.searchsorted(bounds, n, "right")) - 1
     spread, out, short = mix(grams), [], False
-    reach = den * n >= num * int(bounds[own + 1])
-    for part in (own, own + 1)[: 1 + reach]:
+    for part in (own, own + 1):
+        if part > own and den * n < num * int(bounds[part]):
+            out.append(none)
+            continue
         pieces = 5 * differences(int(bounds[part + 1]) - 1, num, den) // 4 + 3
         fragment = ((grams >> _U(32)) * _U(pieces)) >> _U(32)
         start = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-        sums = np.add.reduceat(spread, start)[: most + 1]
-        out.append(mix(sums + fragment[start[: most + 1]] * _U(0xD6E8FEB86659FD93) + _U(part + 1) * _U(0xA0761D6478BD642F)))
+        out.append(mix(np.add.reduceat(spread, start) + fragment[start] * _U(0xD6E8FEB86659FD93) + np.uint64([part + 1]) * _U(0xA0761D6478BD642F)))
         short |= len(start) <= most
-    if short:
-        need = n - -(-n * num // den) + 1
-        out.append(mix(np.sort(spread)[:need] ^ _U(0xE7037ED1A0B428DB)))
-    return np.unique(np.concatenate(out))
+    need = n - -(-n * num // den) + 1
+    out.append(mix(np.sort(spread)[:need] ^ _U(0xE7037ED1A0B428DB)) if short else none)
+    return out
 
 
 def _class_columns(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -186,8 +189,10 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = sets_of(text_of(batch, "_text"), words)
-        keys = _lists([signatures(s, num, den) for s in sets])
-        return pa.RecordBatch.from_arrays([batch.column(1), *_class_columns(sets), keys], ["node", "n", "s1", "s2", "keys"])
+        keys = [signatures(s, num, den) for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(1), *_class_columns(sets), *(_lists([k[f] for k in keys]) for f in range(3))], ["node", "n", "s1", "s2", "k0", "k1", "k2"]
+        )
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = sets_of(text_of(batch, "_text"), words)
@@ -201,16 +206,33 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     docs = saved(map_slices(rows, "_text", f"_key {kind}, node long, n long, s1 long, s2 long", sized), "jaccard-docs")
     same = ["n", "s1", "s2"]
     classes = saved(
-        map_slices(rows, "_text", "node long, n long, s1 long, s2 long, keys array<long>", signed).where("n > 0")
-        .groupBy(*same).agg(F.min("node").alias("node"), F.first("keys").alias("keys")),
+        map_slices(rows, "_text", "node long, n long, s1 long, s2 long, k0 array<long>, k1 array<long>, k2 array<long>", signed).where("n > 0")
+        .groupBy(*same).agg(F.min("node").alias("node"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2")]),
         "jaccard-classes",
     )
 
-    # Candidates: each class with the smallest one of every signature it shares.
-    entries = classes.select("node", F.explode("keys").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where(F.col("leader") < F.col("_last")).drop("_last")
+    # Keys that several classes have. The prefix of a family takes the rarest keys first,
+    # so a passage that many texts share makes candidates only of texts made up of it.
+    most = F.expr(f"n * {den - num} div {num}")
+    def tagged(family: int) -> Column:
+        keys = F.col(f"k{family}")
+        spare = (most + 1 - F.size(keys)).cast("int") if family < 2 else F.lit(1 << 30)
+        return F.transform(keys, lambda k: F.struct(k.alias("sig"), F.lit(family).alias("family"), spare.alias("spare")))
+
+    entries = classes.select("node", F.inline(F.concat(*[tagged(f) for f in range(3)])))
+    often = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = entries.join(often, "sig")
+    family = Window.partitionBy("node", "family")
+    prefix = saved(
+        shared.withColumn("_place", F.row_number().over(family.orderBy("times", "sig"))).withColumn("_shared", F.count(F.lit(1)).over(family))
+        .where(F.col("_place") <= F.col("spare") + F.col("_shared")).select("node", "sig"),
+        "jaccard-prefixes",
+    )
+
+    # Candidates: each class with the smallest one of every key it shares.
+    leaders = prefix.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where(F.col("leader") < F.col("_last")).drop("_last")
     stars = saved(
-        entries.join(shared, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")), "jaccard-stars"
+        prefix.join(leaders, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")), "jaccard-stars"
     )
     wanted = stars.select("node").union(stars.select("leader")).distinct()
     # What is wanted grows with the table, so it is merged at every size and never broadcast.
