@@ -108,6 +108,25 @@ def test_one_of_each_component_stays(documents):
     assert kept.count() == got.select("component").distinct().count()
 
 
+def test_texts_that_share_a_key_stay_apart(spark):
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    long_, b, other = say(200), say(60), [say(40) for _ in range(30)]
+    near = b.replace(b.split()[30], "changed")
+    rows = [(5, long_, 1), (5, b, 2), (9, b, 3), (12, near, 4), (30, say(50), 5), (30, "", 6), (30, "", 7), (30, None, 8), (5, long_, 1)]
+    rows += [(77, t, 10 + k) for k, t in enumerate(other)] + [(None, other[3], 90), (78, other[4], 91), (None, None, 92), (4, None, 93)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    kept = jaccard.one_of_each(df, 5, 70, 100)
+    assert sorted(r.place for r in kept.collect()) == sorted([1, 2, 5, 6, 7, 8, *range(10, 40), 92, 93])
+    got = {(r.doc_id, r.n_shingles): r.component for r in jaccard.link(df, 5, 70, 100).collect()}
+    assert got[5, 196] == got[5, 56] == got[9, 56] == got[12, 56] == 5 and got[30, 0] == got[30, 46] == 30 and got[4, 0] == 4
+    assert got[78, 36] == got[77, 36] == got[None, 36] == 77
+    # 9 and 12 are linked though the key 5 has a longer text too.
+    alone = [(9, b, 3), (12, near, 4), (8, long_, 1), (8, near, 2)]
+    ids = {r.doc_id: r.component for r in jaccard.link(spark.createDataFrame(alone, "doc_id long, text string, place int"), 5, 70, 100).collect()}
+    assert ids == {8: 8, 9: 8, 12: 8}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -166,32 +166,26 @@ def settle(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
     return links
 
 
-def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
-    """Size of each text's n-gram set and its component of linked texts.
+def _texts(df: DataFrame, key: str, text: str) -> list[Column]:
+    """What names a text of a key: the key, or a number for none, and a hash of the text."""
+    return [node_key(key, text).alias("doc"), F.xxhash64(F.lit(1), F.col(text)).alias("hash")]
 
-    Texts of similarity num / den or more are linked. A text of fewer words than
-    ``words`` has one n-gram, all of them; without words, or null, it has none and
-    is linked with nothing. Equal sets are one class, so copies are never paired.
-    Rows without key take part under a number made from their text and have no key in
-    the result; a component without any key has none. Rows with one key are one node:
-    each is linked with what any of its texts is linked with, of which the largest
-    set is looked at. Other columns are ignored; an empty table gives no rows.
 
-    Returns the key, ``node``, n_shingles and ``component`` (smallest node; a value
-    from NO_KEY on means no key).
-    """
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("_key"), node_key(key, text).alias("node"), F.col(text).alias("_text"))
+def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str, block: int) -> DataFrame:
+    """Classes of equal n-gram sets (n, s1, s2) and the component of linked sets that each is in.
 
-    def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = sets_of(text_of(batch, "_text"), words)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_class_columns(sets)], ["_key", "node", "n", "s1", "s2"])
+    The nodes of the join are the classes, whatever keys their texts have. Columns
+    n, s1, s2, ``first`` (doc and hash of the smallest text of the class) and
+    ``root`` (one number for each component).
+    """
+    rows = df.select(*_texts(df, key, text), F.col(text).alias("_text"))
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = sets_of(text_of(batch, "_text"), words)
         keys = [signatures(s, num, den) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(1), *_class_columns(sets), *(_lists([k[f] for k in keys]) for f in range(3))], ["node", "n", "s1", "s2", "k0", "k1", "k2"]
+            [batch.column(0), batch.column(1), *_class_columns(sets), *(_lists([k[f] for k in keys]) for f in range(3))],
+            ["doc", "hash", "n", "s1", "s2", "k0", "k1", "k2"],
         )
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,11 +197,12 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
         n = pa.array(np.repeat([len(s) for s in sets], FRAGMENTS).astype(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0).take(take), n, fragment, _lists(parts)], ["node", "n", "fragment", "part"])
 
-    docs = saved(map_slices(rows, "_text", f"_key {kind}, node long, n long, s1 long, s2 long", sized), "jaccard-docs")
     same = ["n", "s1", "s2"]
+    # The number of a class holds as long as the written table does.
     classes = saved(
-        map_slices(rows, "_text", "node long, n long, s1 long, s2 long, k0 array<long>, k1 array<long>, k2 array<long>", signed).where("n > 0")
-        .groupBy(*same).agg(F.min("node").alias("node"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2")]),
+        map_slices(rows, "_text", "doc long, hash long, n long, s1 long, s2 long, k0 array<long>, k1 array<long>, k2 array<long>", signed).where("n > 0")
+        .groupBy(*same).agg(F.min(F.struct("doc", "hash")).alias("first"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2")])
+        .withColumn("node", F.monotonically_increasing_id()),
         "jaccard-classes",
     )
 
@@ -236,7 +231,8 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
     )
     wanted = stars.select("node").union(stars.select("leader")).distinct()
     # What is wanted grows with the table, so it is merged at every size and never broadcast.
-    texts = rows.select("node", "_text").join(wanted.hint("merge"), "node")
+    wanted = classes.select("node", "first.*").join(wanted, "node")
+    texts = rows.join(wanted.hint("merge"), ["doc", "hash"]).select("node", "_text")
     sets = saved(
         map_slices(texts, "_text", "node long, n long, fragment int, part array<long>", cut)
         .groupBy("node", "fragment").agg(F.max(F.struct("n", "part")).alias("_s")).select("node", "fragment", "_s.n", "_s.part"),
@@ -286,17 +282,54 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
 
     rest = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(links, "a long, b long")
     final = components(rest).select(F.col("node").alias("_root"), F.col("component").alias("_last"))
-    known = classes.select(*same, "node").join(joined, "node", "left").withColumn("_root", F.coalesce("component", "node"))
-    known = known.join(final, "_root", "left").select(*same, F.coalesce("_last", "_root").alias("component"))
-    found = docs.join(known, same, "left")
-    return found.select(F.col("_key").alias(key), "node", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
+    known = classes.select(*same, "first", "node").join(joined, "node", "left").withColumn("_root", F.coalesce("component", "node"))
+    return saved(known.join(final, "_root", "left").select(*same, "first", F.coalesce("_last", "_root").alias("root")), "jaccard-known")
+
+
+def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
+    """Size of each text's n-gram set and its component of linked texts.
+
+    Texts of similarity num / den or more are linked. A text of fewer words than
+    ``words`` has one n-gram, all of them; without words, or null, it has none and
+    is linked with nothing. Equal sets are one class, so copies are never paired.
+    Rows without key take part under a number made from their text and have no key in
+    the result; a component without any key has none. Rows with one key are in one
+    component: all that any of their texts is linked with. Other columns are ignored;
+    an empty table gives no rows.
+
+    Returns the key, ``node``, n_shingles and ``component`` (smallest node; a value
+    from NO_KEY on means no key).
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = sets_of(text_of(batch, "_text"), words)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_class_columns(sets)], ["_key", "node", "n", "s1", "s2"])
+
+    rows = df.select(F.col(key).alias("_key"), node_key(key, text).alias("node"), F.col(text).alias("_text"))
+    docs = map_slices(rows, "_text", f"_key {kind}, node long, n long, s1 long, s2 long", sized)
+    known = _classes(df, words, num, den, key, text, block)
+    least = known.groupBy("root").agg(F.min("first.doc").alias("least"))
+    known = known.join(least, "root").select("n", "s1", "s2", "least")
+    found = saved(docs.join(known, ["n", "s1", "s2"], "left").select("_key", "node", "n", F.coalesce("least", "node").alias("least")), "jaccard-docs")
+
+    # Components that share a key are one.
+    torn = found.groupBy("node").agg(F.min("least").alias("_low"), F.max("least").alias("_high")).where("_low < _high").select("node", "_low")
+    shared = components(found.join(torn, "node").select(F.col("least").alias("a"), F.col("_low").alias("b")))
+    whole = found.join(shared.withColumnRenamed("node", "least"), "least", "left")
+    return whole.select(F.col("_key").alias(key), "node", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component"))
 
 
 def one_of_each(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, with one row of each component: that of the smallest key.
+    """The rows of ``df``, all columns, with one row of each group of linked texts: one of the smallest key.
 
-    Of rows that share a key, or that have no key and equal texts, one stays.
+    A key groups nothing: rows that share one all stay where their texts are not
+    linked. Rows whose text is null or has no words are linked with nothing, so all
+    of them stay.
     """
-    linked = link(df, words, num, den, key, text)
-    kept = linked.where(F.col("node") == F.col("component")).select(F.col("node").alias("__node")).distinct()
-    return df.withColumn("__node", node_key(key, text)).join(kept, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")
+    known = _classes(df, words, num, den, key, text, BLOCK_GRAMS)
+    kept = known.groupBy("root").agg(F.min("first").alias("_first")).select(F.col("_first.doc").alias("__doc"), F.col("_first.hash").alias("__hash"))
+    spoken = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    named = df.where(spoken).withColumns(dict(zip(("__doc", "__hash"), _texts(df, key, text), strict=True)))
+    one = named.join(kept, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*df.columns)
+    return one.unionByName(df.where(~spoken))
