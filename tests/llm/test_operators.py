@@ -432,3 +432,23 @@ def test_lexicon_learns_stems_folds_and_spares(spark, nothing):
     assert toxicity.accepted(df, made).columns == df.columns
     empty = toxicity.learn(toxicity.training_rows(nothing, df.select("doc_id", "toxic"), F.lit(True), "doc_id", "text", "toxic"))
     assert empty.weights == {} and toxicity.score(nothing, empty).count() == 0
+
+
+def test_lexicon_learns_a_long_tail(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnoprstuvwz")
+    word = lambda n: "".join(rng.choice(letters, n))
+    plain, tail = [word(6) for _ in range(3000)], [word(9) for _ in range(300)]
+    say = lambda: list(rng.choice(plain, 30))
+    rows = []
+    for k in range(4000):  # each word of the tail in 0.7 % of the toxic rows, next to one word in all of them for a half
+        rows.append((k, " ".join([*say(), tail[k % 300], tail[(7 * k + 1) % 300], *(["heavyword"] * (k % 2))]), 1))
+    for k in range(6000):  # a word in 10 % of the toxic and 0.1 % of the clean rows
+        rows.append((10_000 + k, " ".join([*say(), *(["mixedword"] if k < 6 else [])]), 0))
+    rows = [(i, f"{x} mixedword" if y and i % 10 == 0 else x, y) for i, x, y in rows]
+    made = toxicity.learn(spark.createDataFrame(rows, "doc_id long, _text string, _y int").select("_text", "_y"))
+    automaton = made.automaton()
+    score = lambda *bad: made.score_of(" ".join([*say(), *bad, *say()]), automaton)[0]
+    assert np.mean([score(w) >= toxicity.THRESHOLD for w in tail]) > 0.98
+    assert score("mixedword") >= toxicity.THRESHOLD and score("heavyword") >= toxicity.THRESHOLD
+    assert np.mean([score() >= toxicity.THRESHOLD for _ in range(300)]) < 0.03

@@ -22,12 +22,13 @@ from verbatim.llm.common import map_slices, saved, slices, text_of
 
 #: Most labelled rows of each kind that the lexicon is learned from, taken in hash order of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 4000, 6000
-#: Most entries of the lexicon, heaviest first, and most exception phrases.
-LEXICON_SIZE, EXCEPTION_SIZE = 2000, 2000
-#: An entry needs this many toxic training rows, this share of them, and this log-odds.
-LEAST_ROWS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.02, 3.8
-#: An entry also needs this share of the heaviest entry's log-odds; what chance brings into a lexicon is far lighter.
-RELATIVE_WEIGHT = 0.6
+#: What the driver holds at most: entries of the lexicon, best proven first, and exception phrases.
+LEXICON_SIZE, EXCEPTION_SIZE = 100_000, 2000
+#: An entry needs this many toxic training rows.
+LEAST_ROWS = 3
+#: An entry is proven if toxic rows have it more than LEAST_RATIO times as often as clean ones, by a likelihood ratio
+#: of LEAST_PROOF or more: chance brings a word of even use into the lexicon once in some hundred thousand.
+LEAST_RATIO, LEAST_PROOF = 2.0, 15.0
 #: Lengths of word starts that are tried as entries.
 STEMS = range(3, 9)
 #: A row is toxic from this score on.
@@ -156,19 +157,32 @@ def _counts(rows: DataFrame, of) -> DataFrame:
     return rows.mapInArrow(run, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
+def proof(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """Likelihood ratio of t toxic and c clean rows against a use that is LEAST_RATIO times as frequent in toxic ones; 0 below that."""
+    even = LEAST_RATIO * toxic / (LEAST_RATIO * toxic + clean)
+    part = lambda n, share: F.when(n > 0, n * F.log(n / ((t + c) * share))).otherwise(0.0) if share else F.lit(0.0)
+    return F.when(t > even * (t + c), 2 * (part(t, even) + part(c, 1 - even))).otherwise(0.0)
+
+
+def shortest(weights: dict[str, float]) -> dict[str, float]:
+    """Entries without those that a start of theirs, of at least their weight, finds as well."""
+    return {f: w for f, w in weights.items() if not any(weights.get(f[:n], -math.inf) >= w for n in range(2, len(f)))}
+
+
 def learn(rows: DataFrame) -> Lexicon:
     """Lexicon of a training sample (``_text``, ``_y``); without toxic rows it is empty."""
     n = {r._y: r.n for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     odds = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-    least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * toxic))
     counts = _counts(rows, lambda text: entries_of(set(text.split())))
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    found = counts.where((F.col("t") >= least) & (weight >= LEAST_WEIGHT)).orderBy(F.desc(weight), "f").limit(LEXICON_SIZE).collect()
-    found = [r for r in found if odds(r.t, r.c) >= RELATIVE_WEIGHT * odds(found[0].t, found[0].c)]
-    weights = {r.f: odds(r.t, r.c) for r in found}
+    t, c = F.col("t"), F.col("c")
+    proven = counts.where((t >= LEAST_ROWS) & (proof(t, c, toxic, clean) >= LEAST_PROOF)) if toxic else counts.limit(0)
     # For the scale, a row must not profit from having been counted itself.
-    own = {1: {r.f: odds(r.t - 1, r.c) for r in found if r.t > least}, 0: {r.f: odds(r.t, max(r.c - 1, 0)) for r in found}}
+    alone = (t > LEAST_ROWS) & (proof(t - 1, c, toxic, clean) >= LEAST_PROOF) if toxic else F.lit(False)
+    found = proven.withColumn("alone", alone).orderBy(F.desc(proof(t, c, toxic, clean)) if toxic else "f", "f").limit(LEXICON_SIZE).collect()
+    weights = shortest({r.f: odds(r.t, r.c) for r in found})
+    found = [r for r in found if r.f in weights]
+    own = {1: {r.f: odds(r.t - 1, r.c) for r in found if r.alone}, 0: {r.f: odds(r.t, max(r.c - 1, 0)) for r in found}}
 
     def phrases(text: str) -> set[str]:
         automaton, out = Lexicon(weights, (), (0, 0, 0)).automaton() if not cache else cache[0], set()
