@@ -317,6 +317,23 @@ def test_field_learns_and_adds_spans(spark, nothing):
     assert secrets.scan(nothing, secrets.train(nothing)).count() == 0
 
 
+def test_field_learns_from_rare_secrets(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_TEXTS", 200)
+    rng = np.random.default_rng(4)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    plain = spark.createDataFrame([(k, f"just plain words without anything of note, number {k} or 34") for k in range(3000)], "doc_id long, text string")
+    low = plain.select(F.xxhash64("text").alias("h")).orderBy("h").limit(200).agg(F.max("h")).first()[0]
+    made = spark.createDataFrame([(5000 + k, f"some plain words here token = \"{hexes(24 + k % 20)}\" and more words {k}") for k in range(40)], "doc_id long, text string")
+    few = made.where(F.xxhash64("text") > low).limit(8)
+    assert few.count() == 8  # none of them is among the 200 texts of least hash
+    field = secrets.train(plain.union(few))
+    hidden = hexes(23)
+    odd = f"some plain words here token -> \"{hidden}\" and more words"
+    at = odd.index(hidden)
+    found = secrets.found_spans(pa.array([odd, "just plain words without anything of note, number 5 or 34"]), field)
+    assert any(k == "crf" and a <= at and at + 23 <= b for k, a, b in found[0]) and found[1] == []
+
+
 def test_viterbi_on_runs_equals_viterbi_on_all():
     rng = np.random.default_rng(5)
     for _ in range(30):

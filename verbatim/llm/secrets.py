@@ -26,11 +26,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: Texts that the field is trained on: those with the smallest text hashes.
+#: Texts that windows without a secret are taken from: those with the smallest text hashes.
 TRAIN_TEXTS = 6000
 #: Most words of a training sequence, cut around the words of interest.
 TRAIN_WORDS = 24
-#: Most training sequences with a secret, and as many without.
+#: Most training sequences with a secret, of all texts that have any, and as many without.
 TRAIN_SEQUENCES = 3000
 
 #: Bytes of text that are tagged at once: the features take many times as much.
@@ -40,8 +40,8 @@ O, B, I = 0, 1, 2
 #: Buckets of word hashes; the features are tables of weights over bucket numbers.
 BUCKETS = 1 << 12
 SHAPES = 1 << 11
-FEATURES = ("shape", "own", "before", "before2", "after", "file")
-SIZES = (SHAPES, BUCKETS, BUCKETS, BUCKETS, BUCKETS, 64)
+FEATURES = ("shape", "signs", "own", "before", "before2", "after", "file")
+SIZES = (SHAPES, 32, BUCKETS, BUCKETS, BUCKETS, BUCKETS, 64)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,7 +107,8 @@ def features(w: Words) -> list[np.ndarray]:
     share = np.searchsorted(np.array([0.01, 0.05, 0.2]), digits / np.maximum(w.count, 1), "right")
     long_text = np.searchsorted(np.array([50, 300, 2000]), w.count, "right")
     file = (share | (long_text << 2))[w.row] | ((sums[1] > 0).astype(int) << 4)
-    return [shape, own, shifted(1), shifted(2), shifted(-1), file]
+    # The signs of a word without its length, so that a length never seen is no obstacle.
+    return [shape, shape & 31, own, shifted(1), shifted(2), shifted(-1), file]
 
 
 @dataclass(frozen=True)
@@ -171,12 +172,17 @@ def _char_starts(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training(rows: DataFrame) -> list:
-    """Windows of words with tags, from the sampled texts; at most the stated number of each kind."""
+    """Windows of words with tags, from the chosen texts (``_text``, ``_plain``); at most the stated number of each kind.
+
+    Windows with a secret come from every chosen text, those without one from the
+    texts marked as plain.
+    """
     columns = ", ".join(f"{f} array<long>" for f in FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", SLICE):
             texts = text_of(part, "_text")
+            plain = part.column(1).to_pylist()
             w = Words(texts)
             lo, hi = _char_starts(w)
             found = features(w)
@@ -191,7 +197,7 @@ def _training(rows: DataFrame) -> list:
                     tags[i], tags[i + 1 : j] = B, I
                     at.append(max(a, i - TRAIN_WORDS // 2))
                     secret.append(True)
-                if b > a:  # the word with most digits, and one in the middle
+                if b > a and plain[r]:  # the word with most digits, and one in the middle
                     for i in (a + int(np.argmax(found[0][a:b] & 1)), (a + b) // 2):
                         at.append(max(a, i - TRAIN_WORDS // 2))
                         secret.append(False)
@@ -206,11 +212,19 @@ def _training(rows: DataFrame) -> list:
 
 
 def train(df: DataFrame, text: str = "text", steps: int = 80) -> Field:
-    """Fit the field by gradient steps on the log-likelihood; without any secret in the sample it tags nothing."""
-    hashed = df.select(F.xxhash64(text).alias("_h")).where(F.col(text).isNotNull()).distinct().orderBy("_h").limit(TRAIN_TEXTS)
-    # At most TRAIN_TEXTS hashes.
-    chosen = F.broadcast(saved(hashed.coalesce(1), "crf-sample"))
-    rows = df.select(F.col(text).alias("_text")).withColumn("_h", F.xxhash64("_text")).join(chosen, "_h").dropDuplicates(["_h"]).select("_text")
+    """Fit the field by gradient steps on the log-likelihood; where no text of the table has a secret it tags nothing."""
+    hashed = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", SLICE):
+            yield part.select(["_h"]).filter(pa.array([bool(base_spans(t)) for t in text_of(part, "_text").to_pylist()], pa.bool_()))
+
+    # Texts with a secret are looked for in the whole table: a sample may hold none of the few.
+    least = lambda rows, n, plain: rows.distinct().orderBy("_h").limit(n).withColumn("_plain", F.lit(plain))
+    wanted = least(hashed.mapInArrow(labelled, "_h long"), TRAIN_SEQUENCES, False).union(least(hashed.select("_h"), TRAIN_TEXTS, True))
+    # At most TRAIN_SEQUENCES + TRAIN_TEXTS hashes.
+    chosen = F.broadcast(saved(wanted.groupBy("_h").agg(F.max("_plain").alias("_plain")).coalesce(1), "crf-sample"))
+    rows = hashed.join(chosen, "_h").dropDuplicates(["_h"]).select("_text", "_plain")
     sample = _training(rows)
     tables = [np.zeros((n, 3)) for n in SIZES]
     moves = np.zeros((3, 3))
@@ -228,6 +242,9 @@ def train(df: DataFrame, text: str = "text", steps: int = 80) -> Field:
             found[f, k, : len(r.tags)] = r[name]
     pair = there[:, 1:] & there[:, :-1]
     hot = np.eye(3)[tags] * there[:, :, None]
+    # Few windows with a secret weigh as much as the many without.
+    secret = np.array([r.secret for r in sample])
+    weight = np.where(secret, max(1.0, (n - secret.sum()) / secret.sum()), 1.0)
     first = [np.zeros_like(p) for p in (*tables, moves)]
     second = [np.zeros_like(p) for p in (*tables, moves)]
     for step in range(1, steps + 1):
@@ -246,13 +263,13 @@ def train(df: DataFrame, text: str = "text", steps: int = 80) -> Field:
         z = ahead[:, -1].max(axis=1)
         z = z + np.log(np.exp(ahead[:, -1] - z[:, None]).sum(axis=1))
         unary = np.exp(ahead + behind - z[:, None, None]) * there[:, :, None]
-        push = hot - unary
+        push = (hot - unary) * weight[:, None, None]
         both = np.exp(ahead[:, :-1, :, None] + moves + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        seen = np.einsum("nti,ntj,nt->ij", hot[:, :-1], hot[:, 1:], pair)
+        seen = np.einsum("nti,ntj,nt,n->ij", hot[:, :-1], hot[:, 1:], pair, weight)
         grads = [np.stack([np.bincount(found[f].ravel(), push[:, :, c].ravel(), size) for c in range(3)], axis=1) for f, size in enumerate(SIZES)]
-        grads.append(seen - (both * pair[:, :, None, None]).sum(axis=(0, 1)))
+        grads.append(seen - (both * (pair * weight[:, None])[:, :, None, None]).sum(axis=(0, 1)))
         for k, (p, g) in enumerate(zip((*tables, moves), grads, strict=True)):
-            g = g / n - 1e-4 * p
+            g = g / weight.sum() - 1e-4 * p
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             p += 0.25 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
