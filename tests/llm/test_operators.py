@@ -334,6 +334,20 @@ def test_field_learns_from_rare_secrets(spark, monkeypatch):
     assert any(k == "crf" and a <= at and at + 23 <= b for k, a, b in found[0]) and found[1] == []
 
 
+def test_field_finds_what_no_pattern_matches(spark):
+    rng = np.random.default_rng(3)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(k, f"some plain words here token = \"{hexes(40)}\" and more words {k}") for k in range(150)]
+    rows += [(1000 + k, "just plain words without anything of note, number 12 or 34") for k in range(150)]
+    hidden = hexes(23)
+    odd = f"some plain words here token -> \"{hidden}\" and more words"
+    field = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    at = odd.index(hidden)
+    assert base_of(odd) == [] and any(k == "crf" and a <= at and at + 23 <= b for k, a, b in secrets.found_spans(pa.array([odd]), field)[0])
+    clean = secrets.redacted(spark.createDataFrame([(7000, odd)], "doc_id long, text string"), field).first().text
+    assert hidden not in clean and "[SECRET]" in clean
+
+
 def test_viterbi_on_runs_equals_viterbi_on_all():
     rng = np.random.default_rng(5)
     for _ in range(30):
