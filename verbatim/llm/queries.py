@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity
+from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity, transducers
 from verbatim.llm.common import NO_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,9 @@ def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 100-byte strings cut out of every document."""
     return suffixes.deduplicated(table(spark, sf_dir, "documents"), 100)
+
+
+@query
+def op11_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return transducers.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
