@@ -251,6 +251,17 @@ def test_ids_equal_those_of_the_file(text):
     assert np.frombuffer(packing.Tokens(path).ids(text), "<u4").tolist() == want
 
 
+def test_long_runs_of_blanks_are_packed(spark):
+    """The fast tokenizer fails on these; the file's own library takes over."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" " * 2_000_000, "\n" * 1_000_000 + "a<|endoftext|>", "b" * 2_000_000]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    library = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n for r in got} == {k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+
+
 # --- 5 ------------------------------------------------------------------------
 
 def measured(text):

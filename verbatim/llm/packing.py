@@ -52,11 +52,26 @@ class Tokens:
         special = {t["content"]: t["id"] for t in made["added_tokens"]}
         byte = byte_signs()
         ranks = {bytes(byte[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
+        self.path = path
         self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.library = None
+
+    def numbers(self, text: str, plain: bool = False) -> np.ndarray:
+        """Ids of a text; ``plain`` takes strings of special tokens as ordinary text."""
+        try:
+            return self.model.encode_to_numpy(text, allowed_special=set() if plain else "all", disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:
+            # Its splitting has a limit on runs of blanks (below a million); the file's own library has none.
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = plain
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian bytes."""
-        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        return self.numbers(text).tobytes()
 
 
 def pieces(df: DataFrame, tokenizer: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
