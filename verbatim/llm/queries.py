@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity, transducers
+from verbatim.llm import alignment, chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity, transducers
 from verbatim.llm.common import NO_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,10 @@ def op9_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return transducers.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op12_aligned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie on every document."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
