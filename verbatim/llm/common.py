@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Folders of the tables that ``saved`` returned, as long as those are in use.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote; nothing may read these tables any more."""
+    for df in tables:
+        path = _folders.pop(df, None)
+        if path:
+            java = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            java.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
 
 
 def node_key(key: str, text: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verbatim.llm import alignment, chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, suffixes, toxicity, transducers
+from verbatim.llm import alignment, chat, ctph, jaccard, packing, pieces, quality, secrets, sharding, spelling, suffixes, toxicity, transducers
 from verbatim.llm.common import NO_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ def op12_aligned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers lie on every document."""
     docs = table(spark, sf_dir, "documents")
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their commoner spellings."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
