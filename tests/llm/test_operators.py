@@ -445,6 +445,28 @@ def test_cut_texts_keep_columns_and_characters(documents, nothing):
     assert suffixes.deduplicated(nothing).count() == 0
 
 
+def test_any_column_names_are_kept(spark):
+    text = "".join(hashlib.sha256(b"%d" % k).hexdigest() for k in range(5))
+    names = ["_id", "_cut", "_tag", "_text", "_row", "tag", "a", "n", "has.dot"]
+    rows = [(k, text if k else "own " + text, *[f"{c}{k}" for c in names]) for k in range(3)] + [(None, text, *names), (1, text, *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    done = suffixes.cut_texts(df, 40)
+    assert done.columns == df.columns and done.schema == df.schema
+    got = sorted((tuple(r) for r in done.collect()), key=str)
+    # The text stands in the first row; nothing of it is left in the others, which keep their columns.
+    assert got == sorted(((r[0], r[1] if r[0] == 0 else "", *r[2:]) for r in rows), key=str)
+
+
+def test_null_and_shared_ids(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    one, two = say(300), say(300)
+    rows = [(5, one), (5, two + one), (5, one), (None, one), (None, two), (None, one + "x"), (7, two)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # Of the texts of 5, the second has ``one`` at a later place; 7 comes later than 5, rows without id last.
+    assert sorted(got, key=str) == sorted([(5, 300, 0), (5, 600, 300), (5, 300, 0), (None, 300, 300), (None, 300, 300), (None, 301, 300), (7, 300, 300)], key=str)
+
+
 def test_expansion_finds_boundaries():
     rng = np.random.default_rng(2)
     for alphabet in (2, 5, 200):

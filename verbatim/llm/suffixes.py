@@ -18,14 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from verbatim.llm.common import Spans, bytes_of, grouped, map_slices, mix, node_key, saved, slices, text_of
+from verbatim.llm.common import Spans, bytes_of, discard, grouped, map_slices, mix, node_key, saved, slices, text_of
 
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Bytes of surroundings that one transform takes in.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Distinct surroundings of one anchor that a block may hold. Beyond it, the strings around
 #: that anchor are compared one by one through a shuffle, which gives the same result.
 GROUP_ROWS = 20_000
@@ -61,8 +61,10 @@ def anchors(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of a block sorted by their first ``length`` bytes at least (prefix doubling); equal ones in any order."""
+    """Suffixes of a block sorted by their first ``length`` bytes at least, by ranks of ever longer prefixes; equal ones in any order."""
     n = len(data)
+    bits = n.bit_length()
+    each = 63 // bits  # ranks that fit into one key
     padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(7):
@@ -75,11 +77,15 @@ def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
         np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:])
         if done >= length or new[-1] == n - 1:
             return order
+        # Ranks from 1 on; 0 stands for what is past the end.
         rank = np.zeros(n, np.int64)
-        rank[order] = new
-        key = rank * (n + 1)
-        key[: max(n - done, 0)] += rank[done:] + 1
-        done *= 2
+        rank[order] = new + 1
+        key = rank.copy()
+        times = min(each, -(-length // done))
+        for k in range(1, times):
+            key <<= bits
+            key[: max(n - k * done, 0)] |= rank[k * done :]
+        done *= times
 
 
 def boundaries(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +160,33 @@ def runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+#: Low bits of a place, which hold the tag of its text.
+_TAG = 0x7FFFFFFF
+
+
 def _ids(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_key"), node_key(key, text).alias("_id"), F.col(text).alias("_text"))
+    """Id of each text and 31 bits of its hash; together they name a text."""
+    tag = F.xxhash64(F.lit(3), F.col(text)).bitwiseAND(F.lit(_TAG)).cast("long")
+    return df.select(F.col(key).alias("_key"), node_key(key, text).alias("_id"), tag.alias("_tag"), F.col(text).alias("_text"))
 
 
-def _tags(data: np.ndarray, rows: np.ndarray, spans: Spans) -> np.ndarray:
-    """31 bits of each text's hash; with the id, they name a text."""
-    return (spans.hash(rows[:-1], rows[1:]) >> _U(33)).astype(np.int64)
+def _sides(spans: Spans, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of what surrounds an anchor closely on the left and on the right, 31 bits each; 0 where the text is too short.
+
+    A string of ``length`` bytes around the anchor has half of its other bytes, or
+    more, on one side of it.
+    """
+    half = (length - ANCHOR + 1) // 2
+    short = _U(33)
+    left = (spans.hash(np.maximum(at - half, lo), at) >> short) | _U(1)
+    right = (spans.hash(at + ANCHOR, np.minimum(at + ANCHOR + half, hi)) >> short) | _U(1)
+    left = np.where(at - half >= lo, left, _U(0))
+    right = np.where(at + ANCHOR + half <= hi, right, _U(0))
+    return (left << _U(32) | right).view(np.int64)
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Anchor hash, hash of surroundings, document, and place of each anchor (with the text's tag in the low bits)."""
+    """Anchor hash, hash of surroundings and of their sides, document, and place of each anchor (with the text's tag in the low bits)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, rows = bytes_of(text_of(batch, "_text"))
@@ -173,34 +195,37 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         row = np.searchsorted(rows, at, "right") - 1
         lo, hi = np.maximum(at - (length - ANCHOR), rows[row]), np.minimum(at + length, rows[row + 1])
         around = spans.hash(lo, hi) ^ mix((at - lo).astype(np.uint64))
-        place = ((at - rows[row]) << 31) | _tags(data, rows, spans)[row]
+        place = ((at - rows[row]) << 31) | batch.column(1).to_numpy()[row]
+        sides = _sides(spans, at, rows[row], rows[row + 1], length)
         ids = batch.column(0).take(pa.array(row))
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(around.view(np.int64)), ids, pa.array(place)], ["a", "c", "_id", "p"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(around.view(np.int64)), pa.array(sides), ids, pa.array(place)], ["a", "c", "sides", "_id", "p"]
+        )
 
-    return map_slices(docs.select("_id", "_text"), "_text", "a long, c long, _id long, p long", step)
+    return map_slices(docs.select("_id", "_tag", "_text"), "_text", "a long, c long, sides long, _id long, p long", step)
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes around the wanted anchors (a, k, _id, p), and the place where they start."""
-    lists = wanted.groupBy("_id").agg(F.collect_list(F.struct("a", "k", "p")).alias("at"))  # at most a text's anchors
+    tag = F.col("p").bitwiseAND(F.lit(_TAG)).alias("_tag")
+    lists = wanted.groupBy("_id", tag).agg(F.collect_list(F.struct("a", "k", "p")).alias("at"))  # at most a text's anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             texts = text_of(part, "_text")
             data, rows = bytes_of(texts)
-            tags = _tags(data, rows, Spans(data))
             out: list[list] = [[], [], [], [], []]
             for r, (i, items) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 raw = data[rows[r] : rows[r + 1]].tobytes()
                 for item in items:
-                    if item["p"] & 0x7FFFFFFF == tags[r]:
-                        at = item["p"] >> 31
-                        lo = max(at - (length - ANCHOR), 0)
-                        for column, value in zip(out, (item["a"], item["k"], i, lo << 31 | int(tags[r]), raw[lo : at + length]), strict=True):
-                            column.append(value)
+                    at = item["p"] >> 31
+                    lo = max(at - (length - ANCHOR), 0)
+                    for column, value in zip(out, (item["a"], item["k"], i, lo << 31 | item["p"] & _TAG, raw[lo : at + length]), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["a", "k", "_id", "p", "around"])
 
-    return docs.select("_id", "_text").join(lists, "_id").mapInArrow(run, "a long, k long, _id long, p long, around binary")
+    texts = docs.join(lists, ["_id", "_tag"]).select("_id", "_text", "at")
+    return texts.mapInArrow(run, "a long, k long, _id long, p long, around binary")
 
 
 def _by_expansion(around: DataFrame, length: int) -> DataFrame:
@@ -248,33 +273,50 @@ def _by_hash(around: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, pa.array(p)], ["w1", "w2", "_id", "p"])
 
     strings = around.mapInArrow(run, "w1 long, w2 long, _id long, p long").distinct()
-    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("_id", F.col("p").bitwiseAND(F.lit(~0x7FFFFFFF)).alias("p"))).alias("f"))
-    place = F.col("p").bitwiseAND(F.lit(~0x7FFFFFFF))
+    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("_id", F.col("p").bitwiseAND(F.lit(~_TAG)).alias("p"))).alias("f"))
+    place = F.col("p").bitwiseAND(F.lit(~_TAG))
     later = strings.join(first, ["w1", "w2"]).where((F.col("_id") != F.col("f._id")) | (place != F.col("f.p")))
     lo = F.shiftright("p", 31)
-    return later.select("_id", F.col("p").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), lo.alias("lo"), (lo + length).alias("hi"))
+    return later.select("_id", F.col("p").bitwiseAND(F.lit(_TAG)).alias("tag"), lo.alias("lo"), (lo + length).alias("hi"))
+
 
+def _alike(distinct: DataFrame) -> DataFrame:
+    """Of the distinct surroundings of an anchor, those that have a side in common with another one.
 
-def repeated_ranges(docs: DataFrame, length: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Ranges (``_id``, ``tag``, lo, hi) whose strings of ``length`` bytes also start earlier; they may overlap and pass a text's ends."""
-    every = _anchor_rows(docs, length)
-    often = every.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a")
-    again = saved(every.join(often, "a"), "anchors")
-    distinct = saved(again.groupBy("a", "c").agg(F.min(F.struct("_id", "p")).alias("f"), F.count(F.lit(1)).alias("n")), "surroundings")
+    Two surroundings that share a string of the threshold length around the anchor
+    agree on half of its other bytes on the left or on the right. All others, which
+    are most of those of a common phrase, are left out before any text is fetched.
+    """
+    left, right = F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))
+    both = distinct.select("a", "c", "f", F.explode(F.array(left, -right)).alias("side")).where("side != 0")
+    shared = both.groupBy("a", "side").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a", "side")
+    return both.join(shared, ["a", "side"]).groupBy("a", "c").agg(F.first("f").alias("f"))
+
+
+def repeated_ranges(docs: DataFrame, length: int, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, list[DataFrame]]:
+    """Ranges (``_id``, ``tag``, lo, hi) whose strings of ``length`` bytes also start earlier, and the tables they are read from.
+
+    The ranges may overlap and pass a text's ends.
+    """
+    # One shuffle; an anchor is one of many of each text, so even the commonest is a small share of all rows.
+    often = F.count(F.lit(1)).over(Window.partitionBy("a"))
+    again = saved(_anchor_rows(docs, length).withColumn("_n", often).where("_n > 1").drop("_n"), "anchors")
+    distinct = saved(again.groupBy("a", "c").agg(F.min(F.struct("_id", "p")).alias("f"), F.first("sides").alias("sides"), F.count(F.lit(1)).alias("n")), "surroundings")
     copies = again.join(distinct.where("n > 1").select("a", "c", "f"), ["a", "c"]).where((F.col("_id") != F.col("f._id")) | (F.col("p") != F.col("f.p")))
     at = F.shiftright("p", 31)
-    whole = copies.select("_id", F.col("p").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), (at - (length - ANCHOR)).alias("lo"), (at + length).alias("hi"))
-    several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    wanted = distinct.join(several, "a").select("a", "k", "f._id", "f.p")
+    whole = copies.select("_id", F.col("p").bitwiseAND(F.lit(_TAG)).alias("tag"), (at - (length - ANCHOR)).alias("lo"), (at + length).alias("hi"))
+    alike = saved(_alike(distinct), "alike")
+    several = alike.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    wanted = alike.join(several, "a").select("a", "k", "f._id", "f.p")
     around = saved(_surroundings(docs, wanted, length), "around")
     some, many = around.where(F.col("k") <= group_rows), around.where(F.col("k") > group_rows)
-    return whole.union(_by_expansion(some, length)).union(_by_hash(many, length))
+    return whole.union(_by_expansion(some, length)).union(_by_hash(many, length)), [again, distinct, alike, around]
 
 
-def _merged(items: list[dict] | None, tag: int, size: int) -> list[tuple[int, int]]:
+def _merged(items: list[dict] | None, size: int) -> list[tuple[int, int]]:
     """Maximal ranges of one text."""
     out: list[list[int]] = []
-    for lo, hi in sorted((max(x["lo"], 0), min(x["hi"], size)) for x in items or () if x["tag"] == tag):
+    for lo, hi in sorted((max(x["lo"], 0), min(x["hi"], size)) for x in items or ()):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -282,10 +324,12 @@ def _merged(items: list[dict] | None, tag: int, size: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def _lists(df: DataFrame, length: int, key: str, text: str, group_rows: int) -> DataFrame:
-    docs = _ids(df, key, text)
-    ranges = repeated_ranges(docs, length, group_rows)
-    return ranges.groupBy("_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("_cut"))  # at most a text's anchors
+def _lists(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """The repeated ranges of each text."""
+    ranges, tables = repeated_ranges(docs, length, group_rows)
+    lists = saved(ranges.groupBy("_id", F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cut")), "ranges")  # at most a text's anchors
+    discard(*tables)
+    return lists
 
 
 def deduplicated(df: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -300,17 +344,17 @@ def deduplicated(df: DataFrame, length: int = 100, key: str = "doc_id", text: st
 
     Returns the key, n_bytes, n_removed, n_spans and kept_sha256.
     """
-    lists = _lists(df, length, key, text, group_rows)
+    docs = _ids(df, key, text)
+    lists = _lists(docs, length, group_rows)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             data, rows = bytes_of(text_of(part, "_text"))
-            tags = _tags(data, rows, Spans(data))
             out: list[list] = [[], [], [], []]
             for r, items in enumerate(part.column(2).to_pylist()):
                 raw = data[rows[r] : rows[r + 1]].tobytes()
-                gone, at, kept = _merged(items, int(tags[r]), len(raw)), 0, hashlib.sha256()
+                gone, at, kept = _merged(items, len(raw)), 0, hashlib.sha256()
                 for a, b in gone:
                     kept.update(raw[at:a])
                     at = b
@@ -321,25 +365,27 @@ def deduplicated(df: DataFrame, length: int = 100, key: str = "doc_id", text: st
                 [part.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    rows = _ids(df, key, text).join(lists, "_id", "left").select("_key", "_text", "_cut")
+    rows = docs.join(lists, ["_id", "_tag"], "left").select("_key", "_text", "_cut")
     return rows.mapInArrow(run, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_key", key)
 
 
 def cut_texts(df: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """All columns, with the repeated strings cut out of ``text``; a character only partly inside stays."""
-    lists, names = _lists(df, length, key, text, group_rows), df.columns
+    """All columns, with the repeated strings cut out of ``text``; a character only partly inside stays.
+
+    What is cut is what ``deduplicated`` removes; null texts stay null. Rows equal in
+    key and text are cut alike. The columns of ``df`` may have any names.
+    """
+    docs = _ids(df, key, text)
+    lists = _lists(docs, length, group_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            texts = text_of(part, text)
-            data, rows = bytes_of(texts)
-            tags = _tags(data, rows, Spans(data))
-            place, cuts = part.schema.get_field_index(text), part.column(part.schema.get_field_index("_cut")).to_pylist()
+        for part in slices(batches, "_text"):
+            data, rows = bytes_of(text_of(part, "_text"))
             out = []
-            for r, items in enumerate(cuts):
+            for r, items in enumerate(part.column(2).to_pylist()):
                 raw = data[rows[r] : rows[r + 1]].tobytes()
                 kept, at = [], 0
-                for a, b in _merged(items, int(tags[r]), len(raw)):
+                for a, b in _merged(items, len(raw)):
                     while a < b and raw[a] & 0xC0 == 0x80:
                         a += 1
                     while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -348,11 +394,14 @@ def cut_texts(df: DataFrame, length: int = 100, key: str = "doc_id", text: str =
                     at = max(at, b)
                 out.append(b"".join(kept + [raw[at:]]).decode())
             values = pa.array(out, pa.string())
-            old = part.column(place)
+            old = part.column(1)
             if old.null_count:
                 values = pa.compute.if_else(old.is_valid(), values, pa.scalar(None, pa.string()))
-            done = part.set_column(place, pa.field(text, pa.string()), values)
-            yield done.select(names)
-
-    marked = df.withColumn("_id", node_key(key, text)).join(lists, "_id", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_cut")
-    return marked.mapInArrow(run, df.schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), values], ["_row", "_text"])
+
+    others = [c for c in df.columns if c != text]
+    whole = df.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("_row"), node_key(key, text).alias("_id"), F.col(text).alias("_text"))
+    whole = whole.withColumn("_tag", F.xxhash64(F.lit(3), F.col("_text")).bitwiseAND(F.lit(_TAG)).cast("long"))
+    marked = whole.join(lists, ["_id", "_tag"], "left").select("_row", "_text", "_cut")
+    cut = marked.mapInArrow(run, marked.select("_row", "_text").schema)
+    return cut.select(*[F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in df.columns])
