@@ -8,7 +8,7 @@ from pyspark.sql import Row, functions as F
 from verbatim.functions import numeric as num, text as tx
 from verbatim.operators import clean as cl, counts as ct, network as nw, reshape as rs, sentiment as sn, stats as st, tfidf as ti
 from verbatim.operators import tokens as tk, topn as tn
-from verbatim.sources import lexicons as lx, readers as rd
+from verbatim.sources import lexicons as lx, readers as rd, scratch
 
 TEXTS = [(1, "Don't stop, U.S.A. 42!"), (2, ""), (3, "?!..."), (4, None), (5, "one"), (6, "one two"), (7, "a b c d")]
 
@@ -215,7 +215,7 @@ def test_collapse_labels(spark):
 
 
 def test_csv_round_trip(spark):
-    path = rd.scratch_path(spark, "csv-test")
+    path = scratch.scratch_path(spark, "csv-test")
     df = spark.createDataFrame([(1, 'say "hi",\nthen go '), (2, " x"), (3, "back\\slash")], "id long, text string")
     rd.write_csv(df, path)
     assert rows(rd.scan_csv(spark, path, "id long, text string", multi_line=True)) == rows(df)
@@ -279,4 +279,4 @@ def test_top_facets_and_overrides_from_tables(spark):
 def test_checkpoint_dir_is_the_sessions(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        assert rd.scratch_path(spark, "x").startswith(folder)
+        assert scratch.scratch_path(spark, "x").startswith(folder)

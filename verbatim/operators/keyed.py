@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verbatim.sources.readers import shared_folder
+from verbatim.sources.scratch import shared_folder
 
 SALTS = 16
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits

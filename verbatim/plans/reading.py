@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from verbatim.operators import counts as ct, keyed, sentiment as sn
 from verbatim.operators.tokens import word_tokens
 from verbatim.plans.base import ENGLISH, STOPS, TOKEN_SQL, polarity, query, role_tokens, scores, stop_frame, table, tokens
-from verbatim.sources import lexicons as lx, readers as rd
+from verbatim.sources import lexicons as lx, readers as rd, scratch
 
 
 @query("scan_responses", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -47,7 +47,7 @@ def scan_comments_sql(spark, sf):
 
 @query("scan_csv", "SELECT item_id, text FROM benchmark")
 def scan_csv(spark, sf):
-    path = rd.scratch_path(spark, "quotes")
+    path = scratch.scratch_path(spark, "quotes")
     rd.write_csv(table(spark, sf, "benchmark", "item_id", "text"), path)
     return rd.scan_csv(spark, path, "item_id long, text string", multi_line=True)
 

@@ -6,8 +6,6 @@ reads only those columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -62,24 +60,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 def date_from_millis(ms: Column | str) -> Column:
     """Calendar date of an epoch-millisecond value (session time zone)."""
     return F.to_date(F.timestamp_millis(F.col(ms) if isinstance(ms, str) else ms))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's ``spark.checkpoint.dir``, or the checkpoint folder of the context.
-
-    A local session that has neither gets a new folder.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="verbatim-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
