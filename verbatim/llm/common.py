@@ -1,15 +1,16 @@
-"""Shared parts: the shared folder, bounded Arrow slices, and word arrays in numpy."""
+"""Shared parts: tables in the shared folder, bounded Arrow slices, and word arrays in numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from verbatim.sources.scratch import discard, written as saved
+
+__all__ = ["discard", "saved"]
 
 #: Bytes of text that a numpy step works on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
@@ -20,43 +21,12 @@ NO_KEY = 1 << 62
 _U = np.uint64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new one is set only where that is unset and the session is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="verbatim-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-#: Folders of the tables that ``saved`` returned, as long as those are in use.
-_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _folders[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``saved`` wrote; nothing may read these tables any more."""
-    for df in tables:
-        path = _folders.pop(df, None)
-        if path:
-            java = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            java.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def node_key(key: str, text: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from verbatim.llm.common import saved
+from verbatim.llm.common import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,18 +25,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of an edge list (a, b): columns ``node`` and ``component``.
 
     Each round is two joins and is written out; the number of rounds grows with the
-    logarithm of the number of nodes. Nodes with many neighbours are never gathered.
+    logarithm of the number of nodes; only the last round stays. Nodes with many neighbours are never gathered.
     """
     now = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count(F.lit(1))
     before = now.agg(*mark).first()
     while before[1]:
-        now = saved(_star(_star(now, True), False), "edges")
+        old, now = now, saved(_star(_star(now, True), False), "edges")
+        discard(old)
         after = now.agg(*mark).first()
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = saved(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+    discard(now)
+    return out
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -47,8 +50,11 @@ def roots(parents: DataFrame) -> DataFrame:
     now = saved(parents.select(F.col("a").alias("node"), F.col("b").alias("root"), F.lit(True).alias("moved")), "roots")
     while True:
         above = now.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        now = saved(
+        old, now = now, saved(
             now.join(above, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")), "roots"
         )
+        discard(old)
         if now.where("moved").isEmpty():
-            return now.select("node", "root")
+            out = saved(now.select("node", "root"), "roots")
+            discard(now)
+            return out

@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verbatim.llm.common import NO_KEY, Words, grouped, map_slices, mix, node_key, saved, text_of
+from verbatim.llm.common import NO_KEY, Words, discard, grouped, map_slices, mix, node_key, saved, text_of, unused
 from verbatim.llm.graph import components, roots
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
-#: N-grams of one block of a cluster; two blocks meet in a task.
-BLOCK_GRAMS = 1_500_000
+#: N-grams and texts of one block of a cluster; two blocks meet in a task.
+BLOCK_GRAMS, BLOCK_TEXTS = 1_500_000, 2_000
 _U = np.uint64
 
 
@@ -171,7 +171,7 @@ def _texts(df: DataFrame, key: str, text: str) -> list[Column]:
     return [node_key(key, text).alias("doc"), F.xxhash64(F.lit(1), F.col(text)).alias("hash")]
 
 
-def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str, block: int) -> DataFrame:
+def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str, block: int, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """Classes of equal n-gram sets (n, s1, s2) and the component of linked sets that each is in.
 
     The nodes of the join are the classes, whatever keys their texts have. Columns
@@ -199,12 +199,13 @@ def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str,
 
     same = ["n", "s1", "s2"]
     # The number of a class holds as long as the written table does.
-    classes = saved(
+    keyed = saved(
         map_slices(rows, "_text", "doc long, hash long, n long, s1 long, s2 long, k0 array<long>, k1 array<long>, k2 array<long>", signed).where("n > 0")
         .groupBy(*same).agg(F.min(F.struct("doc", "hash")).alias("first"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2")])
         .withColumn("node", F.monotonically_increasing_id()),
-        "jaccard-classes",
+        "jaccard-keys",
     )
+    classes = saved(keyed.drop("k0", "k1", "k2"), "jaccard-classes")
 
     # Keys that several classes have. The prefix of a family takes the rarest keys first,
     # so a passage that many texts share makes candidates only of texts made up of it.
@@ -214,21 +215,23 @@ def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str,
         spare = (most + 1 - F.size(keys)).cast("int") if family < 2 else F.lit(1 << 30)
         return F.transform(keys, lambda k: F.struct(k.alias("sig"), F.lit(family).alias("family"), spare.alias("spare")))
 
-    entries = classes.select("node", F.inline(F.concat(*[tagged(f) for f in range(3)])))
-    often = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    shared = entries.join(often, "sig")
+    # One shuffle; a key is one of many of each class, so even the commonest is a small share of all rows.
+    entries = keyed.select("node", F.inline(F.concat(*[tagged(f) for f in range(3)])))
+    shared = entries.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("times > 1")
     family = Window.partitionBy("node", "family")
     prefix = saved(
         shared.withColumn("_place", F.row_number().over(family.orderBy("times", "sig"))).withColumn("_shared", F.count(F.lit(1)).over(family))
         .where(F.col("_place") <= F.col("spare") + F.col("_shared")).select("node", "sig"),
         "jaccard-prefixes",
     )
+    discard(keyed)
 
     # Candidates: each class with the smallest one of every key it shares.
     leaders = prefix.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where(F.col("leader") < F.col("_last")).drop("_last")
     stars = saved(
         prefix.join(leaders, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")), "jaccard-stars"
     )
+    discard(prefix)
     wanted = stars.select("node").union(stars.select("leader")).distinct()
     # What is wanted grows with the table, so it is merged at every size and never broadcast.
     wanted = classes.select("node", "first.*").join(wanted, "node")
@@ -252,19 +255,22 @@ def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str,
     direct = saved(summed, "jaccard-direct")
 
     # The rest: clusters of candidates whose members have not all been joined yet.
-    joined = saved(roots(direct).withColumnRenamed("root", "component"), "jaccard-joined")
+    forest = roots(direct)
+    joined = saved(forest.withColumnRenamed("root", "component"), "jaccard-joined")
+    discard(direct, forest)
     named = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     apart = (
         stars.join(named("node"), "node", "left").join(named("leader"), "leader", "left")
         .select(F.coalesce("_node", "node").alias("a"), F.coalesce("_leader", "leader").alias("b")).where("a != b")
     )
-    cluster = components(apart).withColumnsRenamed({"component": "cluster", "node": "component"})
+    groups = components(apart)
+    cluster = groups.withColumnsRenamed({"component": "cluster", "node": "component"})
     cluster = cluster.union(cluster.select("cluster", "cluster").distinct())
     sized_sets = sets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     members = sized_sets.join(cluster, "component").select("node", "component", "cluster")
     blocks = (
-        members.join(sets.select("node", "part"), "node").groupBy("cluster")
-        .agg(F.ceil(F.sum(F.size("part")) / block).cast("int").alias("blocks"))
+        members.join(sets.groupBy("node").agg(F.sum(F.size("part")).alias("_size")), "node").groupBy("cluster")
+        .agg(F.greatest(F.ceil(F.sum("_size") / block), F.ceil(F.count(F.lit(1)) / block_texts)).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = (
@@ -281,12 +287,17 @@ def _classes(df: DataFrame, words: int, num: int, den: int, key: str, text: str,
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rest = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(links, "a long, b long")
-    final = components(rest).select(F.col("node").alias("_root"), F.col("component").alias("_last"))
+    last = components(rest)
+    discard(stars, sets, groups)
+    final = last.select(F.col("node").alias("_root"), F.col("component").alias("_last"))
     known = classes.select(*same, "first", "node").join(joined, "node", "left").withColumn("_root", F.coalesce("component", "node"))
-    return saved(known.join(final, "_root", "left").select(*same, "first", F.coalesce("_last", "_root").alias("root")), "jaccard-known")
+    out = saved(known.join(final, "_root", "left").select(*same, "first", F.coalesce("_last", "_root").alias("root")), "jaccard-known")
+    discard(classes, joined, last)
+    return out
 
 
-def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block: int = BLOCK_GRAMS) -> DataFrame:
+def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block: int = BLOCK_GRAMS,
+         block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """Size of each text's n-gram set and its component of linked texts.
 
     Texts of similarity num / den or more are linked. A text of fewer words than
@@ -308,7 +319,7 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str
 
     rows = df.select(F.col(key).alias("_key"), node_key(key, text).alias("node"), F.col(text).alias("_text"))
     docs = map_slices(rows, "_text", f"_key {kind}, node long, n long, s1 long, s2 long", sized)
-    known = _classes(df, words, num, den, key, text, block)
+    known = _classes(df, words, num, den, key, text, block, block_texts)
     least = known.groupBy("root").agg(F.min("first.doc").alias("least"))
     known = known.join(least, "root").select("n", "s1", "s2", "least")
     found = saved(docs.join(known, ["n", "s1", "s2"], "left").select("_key", "node", "n", F.coalesce("least", "node").alias("least")), "jaccard-docs")
@@ -328,8 +339,9 @@ def one_of_each(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, ke
     of them stay.
     """
     known = _classes(df, words, num, den, key, text, BLOCK_GRAMS)
-    kept = known.groupBy("root").agg(F.min("first").alias("_first")).select(F.col("_first.doc").alias("__doc"), F.col("_first.hash").alias("__hash"))
+    doc, digest = unused(df, "doc"), unused(df, "hash")
+    kept = known.groupBy("root").agg(F.min("first").alias("_first")).select(F.col("_first.doc").alias(doc), F.col("_first.hash").alias(digest))
     spoken = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    named = df.where(spoken).withColumns(dict(zip(("__doc", "__hash"), _texts(df, key, text), strict=True)))
-    one = named.join(kept, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*df.columns)
+    named = df.where(spoken).withColumns(dict(zip((doc, digest), _texts(df, key, text), strict=True)))
+    one = named.join(kept, [doc, digest], "left_semi").dropDuplicates([doc, digest]).select(*[F.col(f"`{c}`") for c in df.columns])
     return one.unionByName(df.where(~spoken))
