@@ -53,6 +53,33 @@ def test_slot_maps_grow_and_keep_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 
+def test_a_frequent_key_is_dealt_out_and_the_map_is_kept(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.expr("if(doc_id % 3 = 0, 7, doc_id)"))
+    folder = str(tmp_path / "map")
+    place = lambda df: {(r.doc_id, r.text_crc32, r.size): r.shard for r in df.collect()}
+
+    def sizes(df):
+        rows = df.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+        assert len(rows) == 40 and all(r.m + 1 == r.n == r.d for r in rows)
+        return [r.b for r in rows]
+
+    first = sharding.shard(docs, 40, map_folder=folder)
+    got = sizes(first)
+    # The longest text is an upper bound of what cannot be evened out.
+    assert max(got) - min(got) <= docs.agg(F.max(F.octet_length("text"))).first()[0] + 16
+    assert {r.map_version for r in first.select("map_version").distinct().collect()} == {2}
+    more = docs.union(docs.limit(20).withColumn("doc_id", F.col("doc_id") + 10**6))
+    second = sharding.shard(more, 40, map_folder=folder)
+    assert {r.map_version for r in second.select("map_version").distinct().collect()} == {3}
+    one, two = place(first.where("doc_id <> 7")), place(second.where("doc_id <> 7 and doc_id < 1000000"))
+    assert one.keys() == two.keys() and sum(one[k] != two[k] for k in one) < 0.05 * len(one)
+    third = sharding.shard(docs, 41, map_folder=folder)
+    three = place(third.where("doc_id <> 7"))
+    assert 40 in three.values() and sum(two[k] != three[k] for k in one) < 0.1 * len(one)
+    with pytest.raises(ValueError, match="stored map"):
+        sharding.shard(docs, 3, map_folder=folder)
+
+
 # --- 2 ------------------------------------------------------------------------
 
 def shingles(text, n):
