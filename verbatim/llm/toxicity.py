@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -22,8 +24,8 @@ from verbatim.llm.common import map_slices, saved, slices, text_of
 
 #: Most labelled rows of each kind that the lexicon is learned from, taken in hash order of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 4000, 6000
-#: What the driver holds at most: entries of the lexicon, best proven first, and exception phrases.
-LEXICON_SIZE, EXCEPTION_SIZE = 100_000, 2000
+#: A clean row that is taken for toxic weighs as much as so many toxic rows that are missed.
+FALSE_ALARM = 2.0
 #: An entry needs this many toxic training rows.
 LEAST_ROWS = 3
 #: An entry is proven if toxic rows have it more than LEAST_RATIO times as often as clean ones, by a likelihood ratio
@@ -109,8 +111,12 @@ def hits(text: str, automaton: ahocorasick.Automaton | None) -> dict[int, tuple[
             spared.append((start, end))
         elif start not in found or found[start][1] < weight:
             found[start] = (end, weight)
-    for a, b in spared:
-        for start in [s for s, (end, _) in found.items() if a <= s and end <= b]:
+    if spared:
+        # Phrases by start, and how far any of them reaches so far: one look for each hit.
+        spared.sort()
+        starts = [a for a, _ in spared]
+        reach = list(accumulate((b for _, b in spared), max))
+        for start in [s for s, (end, _) in found.items() if (k := bisect_right(starts, s)) and reach[k - 1] >= end]:
             del found[start]
     return found
 
@@ -119,26 +125,31 @@ def _features(total: float, n_words: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(1000 * total / (n_words + 50))
 
 
-def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on two features, by damped Newton steps."""
+def _fit_scale(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression on two features, each row weighing as much as the rows it stands for, by damped Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(3)
-    keep = np.diag([1e-3, 1e-2, 1e-2]) * len(x)
+    keep = np.diag([1e-3, 1e-2, 1e-2]) * times.sum()
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, a.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((a * (times * p * (1 - p))[:, None]).T @ a + keep, a.T @ (times * (y - p)) - keep @ w)
         w += np.clip(step, -3, 3)
     return tuple(float(v) for v in w)
 
 
 def training_rows(df: DataFrame, labels: DataFrame, usable: Column, key: str, text: str, label: str) -> DataFrame:
-    """A bounded sample of labelled texts, written once; ``usable`` says which keys may be learned from."""
+    """A bounded sample of labelled texts (``_text``, ``_y``), written once; ``usable`` says which keys may be learned from.
+
+    ``_w`` is the number of labelled keys of its kind that a row stands for.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & usable).groupBy(key).agg(F.max(label).alias("_y"))
     ranked = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(n)
     # At most TRAIN_TOXIC + TRAIN_CLEAN keys.
-    sample = saved(ranked(1, TRAIN_TOXIC).union(ranked(0, TRAIN_CLEAN)).coalesce(1), "toxic-sample")
+    all_ = {r._y: r.n for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands = F.when(F.col("_y") == 1, max(1.0, all_.get(1, 0) / TRAIN_TOXIC)).otherwise(max(1.0, all_.get(0, 0) / TRAIN_CLEAN))
+    sample = saved(ranked(1, TRAIN_TOXIC).union(ranked(0, TRAIN_CLEAN)).withColumn("_w", stands).coalesce(1), "toxic-sample")
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
-    return saved(rows.join(F.broadcast(sample.withColumnRenamed(key, "_k")), "_k").select("_text", F.col("_y").cast("int").alias("_y")), "toxic-train")
+    return saved(rows.join(F.broadcast(sample.withColumnRenamed(key, "_k")), "_k").select("_text", F.col("_y").cast("int").alias("_y"), "_w"), "toxic-train")
 
 
 def _counts(rows: DataFrame, of) -> DataFrame:
@@ -170,7 +181,12 @@ def shortest(weights: dict[str, float]) -> dict[str, float]:
 
 
 def learn(rows: DataFrame) -> Lexicon:
-    """Lexicon of a training sample (``_text``, ``_y``); without toxic rows it is empty."""
+    """Lexicon of a training sample (``_text``, ``_y``, ``_w``); without toxic rows it is empty.
+
+    All entries that are proven and all exception phrases are taken: the sample bounds them.
+    """
+    if "_w" not in rows.columns:
+        rows = rows.withColumn("_w", F.lit(1.0))
     n = {r._y: r.n for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     odds = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
@@ -179,7 +195,7 @@ def learn(rows: DataFrame) -> Lexicon:
     proven = counts.where((t >= LEAST_ROWS) & (proof(t, c, toxic, clean) >= LEAST_PROOF)) if toxic else counts.limit(0)
     # For the scale, a row must not profit from having been counted itself.
     alone = (t > LEAST_ROWS) & (proof(t - 1, c, toxic, clean) >= LEAST_PROOF) if toxic else F.lit(False)
-    found = proven.withColumn("alone", alone).orderBy(F.desc(proof(t, c, toxic, clean)) if toxic else "f", "f").limit(LEXICON_SIZE).collect()
+    found = proven.withColumn("alone", alone).collect()
     weights = shortest({r.f: odds(r.t, r.c) for r in found})
     found = [r for r in found if r.f in weights]
     own = {1: {r.f: odds(r.t - 1, r.c) for r in found if r.alone}, 0: {r.f: odds(r.t, max(r.c - 1, 0)) for r in found}}
@@ -197,21 +213,23 @@ def learn(rows: DataFrame) -> Lexicon:
     spared = ()
     if weights:
         apart = _counts(rows, phrases).where((F.col("t") == 0) & (F.col("c") >= LEAST_ROWS))
-        spared = tuple(r.f for r in apart.orderBy(F.desc("c"), "f").limit(EXCEPTION_SIZE).collect() if r.f.strip().count(" "))
+        spared = tuple(sorted(r.f for r in apart.collect() if r.f.strip().count(" ")))
 
     def scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = {y: Lexicon(own[y], spared, (0, 0, 0)).automaton() for y in own}
         for part in slices(batches, "_text"):
             out = []
-            for t, y in zip(text_of(part, "_text").to_pylist(), part.column(1).to_pylist(), strict=True):
+            for t, y, times in zip(text_of(part, "_text").to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 text = folded(t)
-                out.append((*_features(sum(w for _, w in hits(text, made[int(y == 1)]).values()), text.count(" ") - 1), y))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64()) for k in range(3)], ["a", "b", "y"])
+                out.append((*_features(sum(w for _, w in hits(text, made[int(y == 1)]).values()), text.count(" ") - 1), y, times))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64()) for k in range(4)], ["a", "b", "y", "w"])
 
     # One small row for each training row: bounded by the sample.
-    seen = np.array([tuple(r) for r in rows.mapInArrow(scales, "a double, b double, y double").collect()]).reshape(-1, 3)
+    seen = np.array([tuple(r) for r in rows.select("_text", "_y", "_w").mapInArrow(scales, "a double, b double, y double, w double").collect()]).reshape(-1, 4)
     seen = seen[np.lexsort(seen.T)]
-    scale = _fit_scale(seen[:, :2], (seen[:, 2] == 1).astype(float)) if toxic and clean else (-5.0, 0.0, 0.0)
+    toxic_row = seen[:, 2] == 1
+    times = seen[:, 3] * np.where(toxic_row, 1.0, FALSE_ALARM)
+    scale = _fit_scale(seen[:, :2], toxic_row.astype(float), times) if toxic and clean else (-5.0, 0.0, 0.0)
     return Lexicon(weights, spared, scale)
 
 
