@@ -8,8 +8,10 @@ Viterbi. It is trained on the spans that the patterns find in a bounded sample.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -190,9 +192,12 @@ def _training(rows: DataFrame) -> list:
             at, secret = [], []
             for r, text in enumerate(texts.to_pylist()):
                 a, b = w.first[r], w.first[r + 1]
-                for k, (_, s, e) in enumerate(spans := base_spans(text)):
-                    if k and s < max(x[2] for x in spans[:k]):
+                reach = 0
+                for _, s, e in base_spans(text):
+                    if s < reach:
+                        reach = max(reach, e)
                         continue
+                    reach = e
                     i, j = a + np.searchsorted(hi[a:b], s, "right"), a + np.searchsorted(lo[a:b], e, "left")
                     tags[i], tags[i + 1 : j] = B, I
                     at.append(max(a, i - TRAIN_WORDS // 2))
@@ -277,6 +282,8 @@ def train(df: DataFrame, text: str = "text", steps: int = 80) -> Field:
     return Field(tuple(t.astype(np.float32) for t in tables), moves.astype(np.float32))
 
 
+#: Letters and digits of a span that the field may add: as many as the shortest value of the patterns has.
+LEAST_SIGNS = 6
 _TRIM = "\"'`()[]{}<>,;:!?."
 
 
@@ -291,6 +298,8 @@ def found_spans(batch_texts: pa.Array, field: Field) -> list[list[tuple[str, int
         spans = base_spans(text)
         if tagged[r]:
             added, a = [], w.first[r]
+            # Base spans are sorted by start; how far any of them reaches so far settles a touch with one look.
+            starts, reach = [x for _, x, _ in spans], list(accumulate((y for _, _, y in spans), max))
             own = tags[a : w.first[r + 1]]
             at = 0
             while at < len(own):
@@ -305,7 +314,8 @@ def found_spans(batch_texts: pa.Array, field: Field) -> list[list[tuple[str, int
                     s += 1
                 while e > s and text[e - 1] in _TRIM:
                     e -= 1
-                if e > s and not any(s < y and x < e for _, x, y in spans):
+                before = bisect_left(starts, e)
+                if sum(map(str.isalnum, text[s:e])) >= LEAST_SIGNS and not (before and reach[before - 1] > s):
                     added.append(("crf", s, e))
                 at = to
             spans = sorted(spans + added, key=lambda s: (s[1], KINDS.index(s[0])))
