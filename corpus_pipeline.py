@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verbatim.llm import jaccard, packing, queries, secrets, suffixes, toxicity
-from verbatim.llm.common import saved
+from verbatim.llm.common import discard, saved, unused
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier; a text of nothing else goes with its document."""
-    had = docs.withColumn("__had", F.length("text") > 0)
-    left = suffixes.cut_texts(had, 100).where(~F.coalesce(F.col("__had") & (F.length("text") == 0), F.lit(False))).drop("__had")
-    return _counted(left)
+    had = unused(docs, "had_text")
+    left = suffixes.cut_texts(docs.withColumn(had, F.length("text") > 0), 100)
+    return _counted(left.where(~F.coalesce(F.col(had) & (F.length("text") == 0), F.lit(False))).drop(had))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to all documents; what each returns is written and read again."""
+    """Apply the stages to all documents; what each returns is written and read again, and then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, f"stage-{k + 1}")
+            discard(before)
     return docs
