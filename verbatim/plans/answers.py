@@ -184,7 +184,7 @@ def boxplot_stats(spark, sf):
 def boxplot_stats_scores(spark, sf):
     from verbatim.plans.feeling import scored_responses
 
-    return rounded(st.boxplot_stats(scored_responses(spark, sf), "avg_sm_score", ["segment_name", "device"]), *_BOX)
+    return rounded(st.boxplot_stats(scored_responses(spark, sf), "avg_sm_score", ["segment_name", "device"], few_values=False), *_BOX)
 
 
 @query(
@@ -198,25 +198,66 @@ def boxplot_outliers(spark, sf):
     return st.boxplot_outliers(_lengths(spark, sf), "word_count", ["segment_name", "device"])
 
 
-@query(
-    "density_ridges",
-    """, freq AS (SELECT segment_name, device, word_count::DOUBLE AS v, count(*) AS c FROM survey GROUP BY ALL),
-    grp AS (SELECT segment_name, device, count(*) AS size, stddev_samp(word_count) AS sd,
-      (quantile_cont(word_count::DOUBLE, 0.75) - quantile_cont(word_count::DOUBLE, 0.25)) / 1.34::DOUBLE AS iqr, min(word_count)::DOUBLE AS lo,
-      max(word_count)::DOUBLE AS hi FROM survey GROUP BY ALL),
-    frame AS (SELECT avg(CASE WHEN size > 1 THEN 0.9::DOUBLE * coalesce(nullif(least(sd, iqr), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
-      * pow(size, -0.2::DOUBLE) END) AS bw, min(lo) AS lo, max(hi) AS hi FROM grp),
+def _density_sql(rows: str, value: str, by: str) -> str:
+    return f""", freq AS (SELECT {by}, CAST({value} AS DOUBLE) AS v, count(*) AS c FROM {rows} GROUP BY ALL),
+    grp AS (SELECT {by}, count(*) AS size, stddev_samp(CAST({value} AS DOUBLE)) AS sd,
+      (quantile_cont(CAST({value} AS DOUBLE), 0.75) - quantile_cont(CAST({value} AS DOUBLE), 0.25)) / 1.34::DOUBLE AS iqr,
+      min(CAST({value} AS DOUBLE)) AS lo, max(CAST({value} AS DOUBLE)) AS hi FROM {rows} GROUP BY ALL),
+    frame AS (SELECT bw, lo - 3 * bw AS start, ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS step FROM (
+      SELECT avg(CASE WHEN size > 1 THEN 0.9::DOUBLE * coalesce(nullif(least(sd, iqr), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
+      * pow(size, -0.2::DOUBLE) END) AS bw, min(lo) AS lo, max(hi) AS hi FROM grp)),
     grid AS (SELECT unnest(range(0, 512)) AS point),
-    pts AS (SELECT point, bw, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS x FROM grid, frame),
-    kern AS (SELECT segment_name, device, point, x, bw, sum(c * exp(-0.5::DOUBLE * ((x - v) / bw) * ((x - v) / bw))) AS k FROM freq, pts GROUP BY ALL)
-    SELECT segment_name, device, point, round(x, 4) AS x, round(k / (size * bw * sqrt(2 * pi())), 6) AS density
-    FROM kern JOIN grp USING (segment_name, device) WHERE size >= 3""",
-)
+    spot AS (SELECT {by}, c, (v - start) / step AS pos FROM freq, frame),
+    cells AS (SELECT {by}, cell, sum(w) AS w FROM (
+      SELECT {by}, floor(pos) AS cell, c * (1 - (pos - floor(pos))) AS w FROM spot
+      UNION ALL SELECT {by}, floor(pos) + 1, c * (pos - floor(pos)) FROM spot) GROUP BY ALL),
+    kern AS (SELECT {by}, point, start + point * step AS x, bw, sum(w * exp(-0.5::DOUBLE * ((point - cell) * step / bw) * ((point - cell) * step / bw))) AS k
+      FROM cells, grid, frame GROUP BY ALL)
+    SELECT {by}, point, round(x, 4) AS x, round(k / (size * bw * sqrt(2 * pi())), {{digits}}) AS density
+    FROM kern JOIN grp USING ({by}) WHERE size >= 3"""
+
+
+@query("density_ridges", _density_sql("survey", "word_count", "segment_name, device").format(digits=6))
 def density_ridges(spark, sf):
     out = st.density_ridges(_lengths(spark, sf), "word_count", ["segment_name", "device"])
     return rounded(rounded(out, "x", digits=4), "density")
 
 
+# --- continuous values ------------------------------------------------------
+
+def _prices(spark, sf):
+    return table(spark, sf, "orders", "o_orderpriority", "o_totalprice")
+
+
+@query(
+    "quantiles_continuous",
+    """SELECT o_orderpriority, round(quantile_cont(o_totalprice::DOUBLE, 0.0), 6) AS p0, round(quantile_cont(o_totalprice::DOUBLE, 0.1), 6) AS p10,
+    round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(o_totalprice::DOUBLE, 0.999), 6) AS p999,
+    round(quantile_cont(o_totalprice::DOUBLE, 1.0), 6) AS p100 FROM orders GROUP BY o_orderpriority""",
+)
+def quantiles_continuous(spark, sf):
+    """Order statistics of prices by rank selection."""
+    found = st.selected_quantiles(_prices(spark, sf), "o_totalprice", (0.0, 0.1, 0.5, 0.999, 1.0), "o_orderpriority")
+    columns = [F.col("quantiles")[k].alias(c) for k, c in enumerate(("p0", "p10", "p50", "p999", "p100"))]
+    return rounded(found.select("o_orderpriority", *columns), "p0", "p10", "p50", "p999", "p100")
+
+
+def _price_box_sql() -> str:
+    return _box_sql("(SELECT o_orderpriority AS segment_name, 'all' AS device, o_totalprice FROM orders)", "o_totalprice")
+
+
+@query("boxplot_stats_continuous", _price_box_sql())
+def boxplot_stats_continuous(spark, sf):
+    rows = _prices(spark, sf).select(F.col("o_orderpriority").alias("segment_name"), F.lit("all").alias("device"), "o_totalprice")
+    return rounded(st.boxplot_stats(rows, "o_totalprice", ["segment_name", "device"], few_values=False), *_BOX)
+
+
+@query("density_ridges_continuous", _density_sql("orders", "o_totalprice", "o_orderpriority").format(digits=12))
+def density_ridges_continuous(spark, sf):
+    out = st.density_ridges(_prices(spark, sf), "o_totalprice", "o_orderpriority", few_values=False)
+    return rounded(rounded(out, "x", digits=4), "density", digits=12)
+
+
 @query("global_reference_lines", "SELECT avg(word_count) AS mean, median(word_count)::DOUBLE AS median FROM survey")
 def global_reference_lines(spark, sf):
     return st.global_reference_lines(_lengths(spark, sf), "word_count")
