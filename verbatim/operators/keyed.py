@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verbatim.sources.scratch import shared_folder
-
 SALTS = 16
-_SLOT_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+#: Rows whose keys cut a table into ranges for numbering; one less than a power of two.
+RANGES = 255
 
 
 def names(by: str | Sequence[str] | None) -> list[str]:
@@ -53,60 +52,66 @@ def group_sum_keep_rows(df: DataFrame, by: str | Sequence[str], value: str = "n"
 
 def add_row_id(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
     """Dense ids 1..N in the order of a unique ``key`` of any type that sorts; a null key comes first."""
-    return ordinals(df, [F.col(key).asc_nulls_first()], out=out)
+    return ordinals(df, [key], out=out)
 
 
-def _in_ranges(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
-    """Rows range-sorted over tasks and checkpointed, which fixes the ranges.
+def _in_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_range``: the number of the range of keys that a row is in.
 
-    Adds ``_slot`` (the range) and ``_id`` (ascending in the overall order).
+    Bounds are the keys of the ``RANGES`` rows of least hash, read once when the query
+    runs. They depend on the rows alone, so a task that runs again finds the same.
     """
-    shared_folder(df.sparkSession)
-    ranges = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    fixed = ranges.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    return fixed.withColumn("_slot", F.shiftright("_id", _SLOT_BITS))
-
-
-def _with_starts(fixed: DataFrame, size: Column) -> DataFrame:
-    """Add ``_start``: the total ``size`` of the ranges before.
-
-    There is one row per range, and no more ranges than shuffle partitions: that
-    bounds what is broadcast, and the sorted rows themselves are not shuffled again.
+    key = F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])
+    sample = df.select(key.alias("_key"), F.xxhash64(*df.columns).alias("_hash")).orderBy("_hash", "_key").limit(RANGES)
+    bounds = sample.agg(F.sort_array(F.collect_set("_key"))).scalar()
+    # Binary search: how many bounds are not above the key. One stage, so the bounds are never part of a stored row.
+    out = df.withColumns({"_key": key, "_bounds": bounds, "_range": F.lit(0)})
+    step = (RANGES + 1) // 2
+    while step:
+        up = F.coalesce(F.get("_bounds", F.col("_range") + (step - 1)) <= F.col("_key"), F.lit(False))
+        out = out.withColumn("_range", F.col("_range") + F.when(up, step).otherwise(0))
+        step //= 2
+    return out.drop("_key", "_bounds")
+
+
+def _with_starts(df: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
+    """Add ``_start``, the total ``size`` of the group's rows in the ranges before, and ``_total`` of the group.
+
+    There is one row per range and group in it, at most ``RANGES + 1`` more than groups;
+    the rows themselves are not shuffled for it.
     """
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = fixed.groupBy("_slot").agg(size.alias("_c"))
-    starts = starts.select("_slot", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    return fixed.join(F.broadcast(starts), "_slot")
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("_range", *by).agg(size.alias("_c"))
+    starts = sizes.select("_range", *by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), F.sum("_c").over(group).alias("_total"))
+    return attach(df, starts, ["_range", *by])
 
 
-def ordinals(df: DataFrame, order: Sequence[Column], by: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
-    """Row number 1..N in ``order`` (restarting per ``by`` group) without one-task windows.
+def ordinals(df: DataFrame, order: Sequence[str], by: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
+    """Row number 1..N in ascending ``order``, nulls first, restarting per ``by`` group.
 
-    A row's number is its place in its range plus the rows of the ranges before.
+    A row's number is its place in its range of keys plus the group's rows in the
+    ranges before, so no group is one task. Rows equal in all of these keys share a range.
     """
     by = names(by)
-    fixed = _in_ranges(df, [F.col(b).asc_nulls_first() for b in by] + list(order))
-    local = F.col("_id").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    placed = _with_starts(fixed, F.count("*")).withColumn("_pos", F.col("_start") + local)
-    if by:
-        firsts = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
-        placed = attach(placed, firsts, by, salts=SALTS)
-    else:
-        placed = placed.withColumn("_first", F.lit(0))
-    return placed.withColumn(out, (F.col("_pos") - F.col("_first") + 1).cast("long")).select(*df.columns, out)
+    ranged = _in_ranges(df, [*by, *order])
+    place = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
+    placed = _with_starts(ranged, by, F.count("*"))
+    return placed.withColumn(out, (F.col("_start") + place).cast("long")).select(*df.columns, out)
 
 
-def rank_fraction(df: DataFrame, value: str, by: str, out: str = "fraction") -> DataFrame:
-    """Share of the group's rows whose value is not above the row's own, without a window per group.
+def rank_levels(df: DataFrame, value: str, by: str, out: str = "fraction") -> DataFrame:
+    """(by, value, out) for each distinct value: the share of the group's rows whose value is not above it.
 
-    The distinct values are range-sorted; running counts are formed inside a
+    The distinct values are cut into ranges; running counts are formed inside a
     range and shifted by the rows of the ranges before it.
     """
     levels = df.groupBy(by, value).agg(F.count("*").alias("_rows"))
-    fixed = _in_ranges(levels, [F.col(by).asc_nulls_first(), F.col(value).asc_nulls_first()])
-    local = F.sum("_rows").over(Window.partitionBy("_slot").orderBy("_id"))
-    placed = _with_starts(fixed.withColumn("_local", local), F.sum("_rows")).withColumn("_upto", F.col("_start") + F.col("_local"))
-    groups = placed.groupBy(by).agg(F.min(F.col("_upto") - F.col("_rows")).alias("_base"), F.sum("_rows").alias("_total"))
-    share = (F.col("_upto") - F.col("_base")) / F.col("_total")
-    shares = attach(placed.select(by, value, "_upto"), groups, by, salts=SALTS).select(by, value, share.alias(out))
-    return attach(df, shares, [by, value])
+    local = F.sum("_rows").over(Window.partitionBy("_range", by).orderBy(value))
+    placed = _with_starts(_in_ranges(levels, [by, value]), [by], F.sum("_rows"))
+    return placed.select(by, value, ((F.col("_start") + local) / F.col("_total")).alias(out))
+
+
+def rank_fraction(df: DataFrame, value: str, by: str, out: str = "fraction") -> DataFrame:
+    """Share of the group's rows whose value is not above the row's own, without a window per group."""
+    return attach(df, rank_levels(df, value, by, out), [by, value])

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from verbatim.operators.keyed import ordinals
+
 
 def unpivot_choices(df: DataFrame, ids: Sequence[str], boxes: Sequence[str], out: str = "category") -> DataFrame:
     """One row per ticked box: (ids..., ``out``, ord). Unticked and unanswered boxes drop out.
@@ -58,3 +60,29 @@ def cast_dfm(counts: DataFrame, document: str, term: str, n: str = "n", binary:
     """Document-feature matrix in its sparse long form (document, term, n)."""
     cell = F.lit(1).cast("long") if binary else F.sum(n)
     return counts.where(F.col(document).isNotNull()).groupBy(document, term).agg(cell.alias(n))
+
+
+def dfm_dictionary(counts: DataFrame, term: str) -> DataFrame:
+    """(term, id): ids 0 to V - 1 without gaps, in the order of the terms."""
+    terms = counts.where(F.col(term).isNotNull()).select(term).distinct()
+    return ordinals(terms, [term], out="id").withColumn("id", F.col("id") - 1)
+
+
+def dfm_vectors(counts: DataFrame, dictionary: DataFrame, document: str, term: str, n: str = "n", binary: bool = False) -> DataFrame:
+    """Document-feature matrix as one sparse vector per document: (document, size, indices, values).
+
+    ``size`` is the number of terms of the dictionary; indices ascend. Counts of one
+    cell are summed. A document without any term of the dictionary has no vector.
+    """
+    cells = cast_dfm(counts.where(F.col(term).isNotNull()), document, term, n, binary)
+    ids = cells.join(dictionary.select(F.col(term).alias("_term"), "id"), F.col(term) == F.col("_term"))
+    pairs = F.array_sort(F.collect_list(F.struct("id", F.col(n).cast("double").alias("v"))))  # at most the terms of one document
+    size = dictionary.agg(F.count("*").alias("v")).scalar()
+    out = ids.groupBy(document).agg(pairs.alias("_p"))
+    return out.select(document, size.alias("size"), F.transform("_p", lambda p: p["id"]).alias("indices"), F.transform("_p", lambda p: p["v"]).alias("values"))
+
+
+def dfm_cells(vectors: DataFrame, dictionary: DataFrame, document: str, term: str, n: str = "n") -> DataFrame:
+    """The long form (document, term, n) of sparse vectors."""
+    cells = vectors.select(document, F.inline(F.arrays_zip("indices", "values")))
+    return cells.join(dictionary, F.col("indices") == F.col("id")).select(document, term, F.col("values").alias(n))

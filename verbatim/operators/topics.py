@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verbatim.operators.keyed import attach, rank_fraction
+from verbatim.operators.keyed import attach, rank_levels
 from verbatim.operators.stats import freq_polygon
 from verbatim.operators.topn import top_n
 from verbatim.sources.scratch import discard, written
@@ -335,7 +335,8 @@ def frex_scores(beta: DataFrame, weight: float = 0.5) -> DataFrame:
     values = F.array_sort(F.collect_list("beta"))
     sums = beta.groupBy("term").agg(F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("_all"))
     rows = attach(beta, sums, "term").withColumn("_ex", F.col("beta") / F.nullif(F.col("_all"), F.lit(0.0)))
-    rows = rank_fraction(rank_fraction(rows, "beta", "topic", "_f"), "_ex", "topic", "_e")
+    often, own = rank_levels(rows, "beta", "topic", "_f"), rank_levels(rows, "_ex", "topic", "_e")
+    rows = attach(attach(rows, often, ["topic", "beta"]), own, ["topic", "_ex"])
     frex = 1.0 / ((1.0 - weight) / F.col("_f") + weight / F.col("_e"))
     return rows.select("topic", "term", "beta", frex.alias("frex"))
 

@@ -64,7 +64,7 @@ def head_limit(df: DataFrame, order: Sequence[Column], k: int = 6) -> DataFrame:
 
 def bar_order(df: DataFrame, term: str, n: str = "n", facet: str | Sequence[str] | None = None, out: str = "ord") -> DataFrame:
     """Position of each bar in its facet: 1 for the smallest count."""
-    return ordinals(df, [F.asc(n), F.asc(term)], by=facet, out=out)
+    return ordinals(df, [n, term], by=facet, out=out)
 
 
 def collapse_repeated_labels(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:

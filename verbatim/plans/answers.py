@@ -100,6 +100,29 @@ def cast_dfm_binary(spark, sf):
     return rs.cast_dfm(counts, "lang", "word", binary=True)
 
 
+_DICTIONARY = ", dictionary AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM nostop))"
+
+
+@query("dfm_dictionary", _DICTIONARY + " SELECT word, id FROM dictionary")
+def dfm_dictionary(spark, sf):
+    """Dense term ids."""
+    return rs.dfm_dictionary(ct.count_by(tokens(spark, sf, "source"), "source", "word"), "word")
+
+
+@query(
+    "dfm_vectors",
+    _DICTIONARY + """, cells AS (SELECT source, id, count(*) AS n FROM nostop JOIN dictionary USING (word) GROUP BY ALL)
+    SELECT source, (SELECT count(*) FROM dictionary) AS size, string_agg(id, ' ' ORDER BY id) AS indices,
+    string_agg(n, ' ' ORDER BY id) AS counts FROM cells GROUP BY source""",
+)
+def dfm_vectors(spark, sf):
+    """One sparse vector per source, written out as text."""
+    counts = ct.count_by(tokens(spark, sf, "source"), "source", "word")
+    vectors = rs.dfm_vectors(counts, rs.dfm_dictionary(counts, "word"), "source", "word")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), " ")
+    return vectors.select("source", "size", listed("indices").alias("indices"), listed("values").alias("counts"))
+
+
 @query("append_column", "SELECT *, n_chars - word_count AS difference FROM (SELECT doc_id, n_chars FROM documents) JOIN (SELECT doc_id, word_count FROM survey) USING (doc_id)")
 def append_column(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "n_chars", "text")
