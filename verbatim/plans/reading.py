@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from verbatim.operators import counts as ct, keyed, sentiment as sn
 from verbatim.operators.tokens import word_tokens
 from verbatim.plans.base import ENGLISH, STOPS, TOKEN_SQL, polarity, query, role_tokens, scores, stop_frame, table, tokens
-from verbatim.sources import lexicons as lx, readers as rd, scratch
+from verbatim.sources import inference, lexicons as lx, readers as rd, scratch
 
 
 @query("scan_responses", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -52,6 +52,24 @@ def scan_csv(spark, sf):
     return rd.scan_csv(spark, path, "item_id long, text string", multi_line=True)
 
 
+_BROKEN_ROWS = [("7", "n/a", "1995-01-01", "none"), ("8", "1.5", "1995-02-31", "none")]
+
+
+@query(
+    "scan_csv_inferred",
+    """SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority,
+    CAST(NULL AS VARCHAR) AS _broken FROM orders
+    UNION ALL SELECT 7, NULL, DATE '1995-01-01', 'none', 'o_totalprice=n/a' UNION ALL SELECT 8, 1.5, NULL, 'none', 'o_orderdate=1995-02-31'""",
+)
+def scan_csv_inferred(spark, sf):
+    """Orders and two broken rows, with types found in the rows."""
+    path = scratch.scratch_path(spark, "orders")
+    orders = table(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    texts = orders.select(*[F.col(c).cast("date" if c == "o_orderdate" else orders.schema[c].dataType).cast("string") for c in orders.columns])
+    rd.write_csv(texts.union(spark.createDataFrame(_BROKEN_ROWS, texts.schema)), path)
+    return inference.scan_csv_inferred(spark, path, least_share=0.9)
+
+
 def _used(lexicon: DataFrame, spark, sf) -> DataFrame:
     """Lexicon entries with their occurrences in the documents."""
     seen = ct.count_by(tokens(spark, sf, stop=False), "word")
