@@ -18,6 +18,11 @@ TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 TOKEN_POSSESSIVE = r"[\p{L}\p{M}\p{N}_]++(?:['’.][\p{L}\p{M}\p{N}_]++)*+"
 SENTENCE = r"[^.!?]+[.!?]*"
 CLAUSE = r"[^,;:]+"
+# Pieces of a text and the blanks between them; a piece that is a word, which may have periods inside and one at its end.
+PIECE = r"[^ \t\n\f\r]+|[ \t\n\f\r]+"
+WORD_PIECE = r"^[\"'(\[]*([\p{L}]+(?:\.[\p{L}]+)*)(\.?)[,;:!?)\"'\]]*$"
+#: Stands for a period that is no sentence bound while a text is cut (a private character).
+HIDDEN = "\ue000"
 PATH_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -73,6 +78,28 @@ def sentence_array(text: Column | str) -> Column:
     return F.filter(pieces, lambda s: s != "")
 
 
+def bounded_sentences(text: Column | str, abbreviations: Column | Iterable[str]) -> Column:
+    """Sentences of which no bound is a period between digits or one that belongs to an abbreviation, case kept.
+
+    ``abbreviations`` are lower-case words without their last period: a list, or a
+    column with an array of them. Such periods are hidden while the text is cut.
+    """
+    listed = None if isinstance(abbreviations, Column) else sorted(set(abbreviations))
+    known = lambda w: F.array_contains(abbreviations, w) if listed is None else w.isin(listed)
+    decimal = _col(text)
+    for _ in range(2):  # the second time for digits that the first one has used, as in 1.2.3
+        decimal = F.regexp_replace(decimal, r"([0-9])\.([0-9])", f"$1{HIDDEN}$2")
+    if listed is None or listed:
+        pieces = F.transform(_extract_all(decimal, PIECE), lambda p: F.when(known(abbreviation_core(p)), F.replace(p, F.lit("."), F.lit(HIDDEN))).otherwise(p))
+        decimal = F.array_join(pieces, "")
+    return F.transform(sentence_array(decimal), lambda s: F.replace(s, F.lit(HIDDEN), F.lit(".")))
+
+
+def abbreviation_core(piece: Column) -> Column:
+    """The word of a piece between blanks, in lower case and without its last period; empty if the piece is no word."""
+    return F.lower(F.regexp_extract(piece, WORD_PIECE, 1))
+
+
 def clause_array(sentence: Column | str) -> Column:
     """Pieces of a sentence between ``,`` ``;`` ``:``."""
     return _extract_all(_col(sentence), CLAUSE)

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verbatim.functions import numeric as num, text as tx
+from verbatim.operators.bounds import abbreviation_list
 from verbatim.operators.keyed import SALTS, attach, names
 from verbatim.operators.topn import top_n
 from verbatim.sources.lexicons import polarity_lexicon, score_lexicon
@@ -148,6 +149,10 @@ def segment_polarity_bar(counts: DataFrame, polarity: DataFrame, segment: str =
 
 # --- sentences --------------------------------------------------------------
 
+#: Numbers of 64 bits in a sieve of lexicon words: with ten thousand words, one other word in a hundred passes.
+SIEVE_SLOTS = 2048
+
+
 @dataclass(frozen=True)
 class Shifters:
     """Word lists that change the weight of a polar word near them."""
@@ -171,9 +176,16 @@ def _count(codes: Column, code: str) -> Column:
     return F.char_length(F.translate(codes, ".nadb".replace(code, ""), "")).cast("double")
 
 
-def split_sentences(responses: DataFrame, row_id: str, text: str, *more: str) -> DataFrame:
-    """(row_id, more..., sentence_id, sentence, clauses): sentences in text order, clauses as word arrays."""
-    rows = responses.select(row_id, *more, F.posexplode(tx.sentence_array(text)).alias("_p", "sentence"))
+def split_sentences(responses: DataFrame, row_id: str, text: str, *more: str, abbreviations: DataFrame | None = None) -> DataFrame:
+    """(row_id, more..., sentence_id, sentence, clauses): sentences in text order, clauses as word arrays.
+
+    With an abbreviation table, periods of its words and in decimals end no sentence.
+    """
+    if abbreviations is None:
+        rows = responses.select(row_id, *more, F.posexplode(tx.sentence_array(text)).alias("_p", "sentence"))
+    else:
+        known = responses.withColumn("_known", abbreviation_list(abbreviations))
+        rows = known.select(row_id, *more, F.posexplode(tx.bounded_sentences(text, F.col("_known"))).alias("_p", "sentence"))
     clauses = F.transform(tx.clause_array("sentence"), tx.word_array)
     return rows.select(row_id, *more, (F.col("_p") + 1).cast("long").alias("sentence_id"), "sentence", clauses.alias("clauses"))
 
@@ -195,15 +207,43 @@ def _around(codes: Column, i: Column) -> tuple[Column, Column]:
     return F.substring(codes, first + 1, i - first), F.substring(codes, i + 2, F.lit(WORDS_AFTER))
 
 
-def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: Mapping[str, float] | DataFrame, shifters: Shifters) -> DataFrame:
+def _places(word: Column) -> list[Column]:
+    """The bits of a word in a sieve: slot and bit in it, from three parts of one hash."""
+    h = F.xxhash64(word)
+    bits = [F.pmod(F.shiftright(h, 20 * k), F.lit(64 * SIEVE_SLOTS)) for k in range(3)]
+    return [F.struct(F.shiftright(b, 6).cast("int").alias("slot"), b.bitwiseAND(F.lit(63)).cast("int").alias("bit")) for b in bits]
+
+
+def _one(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def word_sieve(lexicon: DataFrame, word: str = "word") -> Column:
+    """Bloom filter of a table's words, an array of ``SIEVE_SLOTS`` numbers of 64 bits, whatever the size of the table."""
+    marks = lexicon.where(F.col(word).isNotNull()).select(F.inline(F.array(*_places(F.col(word)))))
+    slots = marks.groupBy("slot").agg(F.bit_or(_one(F.col("bit"))).alias("mask"))
+    filled = F.map_from_entries(F.collect_list(F.struct("slot", "mask")))  # at most SIEVE_SLOTS
+    return slots.agg(filled.alias("_f")).select(F.transform(
+        F.sequence(F.lit(0), F.lit(SIEVE_SLOTS - 1)), lambda k: F.coalesce(F.try_element_at("_f", k), F.lit(0).cast("long"))
+    ).alias("sieve")).scalar()
+
+
+def passes(sieve: Column, word: Column) -> Column:
+    """False only for words that the sieve's table does not have."""
+    return F.forall(F.array(*_places(word)), lambda p: F.get(sieve, p["slot"]).bitwiseAND(_one(p["bit"])) != 0)
+
+
+def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: Mapping[str, float] | DataFrame, shifters: Shifters,
+                       abbreviations: DataFrame | None = None) -> DataFrame:
     """(row_id, sentence_id, word_count, sentiment) for each sentence of each row.
 
     A clause is written as a string with one code letter per word, and a polar word
     is weighed by the codes of the five words before and the two words after it. With
     a mapping of words to weights everything happens inside the sentence, without any
-    shuffle. With a (word, weight) table each word leaves its sentence with the codes
-    around it, the join keeps the polar ones, and their sums are shuffled. Rows are
-    told apart by place, so ``row_id`` may repeat or be null.
+    shuffle. With a (word, weight) table, words that a Bloom filter of the table lets
+    pass leave their sentence with the codes around them, the join keeps the polar
+    ones, and their sums are shuffled. Rows are told apart by place, so ``row_id`` may
+    repeat or be null. ``abbreviations`` is a table of words whose periods end no sentence.
     """
     coded = shifters.by_code()
 
@@ -215,7 +255,7 @@ def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: M
     score = lambda total: F.when(F.col("word_count") > 0, total / F.sqrt(F.col("word_count").cast("double"))).otherwise(0.0)
 
     if isinstance(polarity, Mapping):
-        split = split_sentences(responses, row_id, text).withColumn("codes", codes)
+        split = split_sentences(responses, row_id, text, abbreviations=abbreviations).withColumn("codes", codes)
         weights = F.create_map(*[F.lit(v) for word, weight in polarity.items() for v in (word, float(weight))]) if polarity else None
 
         def weighed(clause: Column, codes: Column) -> Column:
@@ -238,12 +278,12 @@ def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: M
     # a polar word. Its key starts with a blank, so it matches no lexicon word, and
     # it differs by row, so it is not a hot key if the join is shuffled.
     numbered = responses.withColumn("_row", F.monotonically_increasing_id())
-    split = split_sentences(numbered, row_id, text, "_row").withColumn("codes", codes)
+    split = split_sentences(numbered, row_id, text, "_row", abbreviations=abbreviations).withColumn("codes", codes)
     nothing = F.lit("")
     marker = F.struct(F.concat(F.lit(" "), F.col("_row").cast("string")).alias("word"), nothing.alias("before"), nothing.alias("after"))
-    contexts = split.select(
-        row_id, "_row", "sentence_id", n_words.alias("_n"),
-        F.inline(F.concat(F.array(marker), F.flatten(F.zip_with("clauses", "codes", with_context)))),
+    possible = F.filter(F.flatten(F.zip_with("clauses", "codes", with_context)), lambda near: passes(F.col("_sieve"), near["word"]))
+    contexts = split.withColumn("_sieve", word_sieve(polarity)).select(
+        row_id, "_row", "sentence_id", n_words.alias("_n"), F.inline(F.concat(F.array(marker), possible))
     )
     lexicon = polarity.select(F.col("word"), F.col("weight").cast("double").alias("_p"))
     is_marker = F.col("word").startswith(" ")

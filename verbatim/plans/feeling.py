@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verbatim.operators import counts as ct, sentiment as sn
+from verbatim.operators import bounds as bd, counts as ct, sentiment as sn
 from verbatim.plans.base import (
     NEUTRAL, NEW_POLARITY, NEW_SCORES, POLARITY, SHIFTERS, polarity, query, rounded, scores, surveys, table, tokens, weights,
 )
+from verbatim.plans.tokenising import LEARNED
 
 
 # --- lexicon joins ----------------------------------------------------------
@@ -209,6 +210,19 @@ def sentence_sentiment(spark, sf):
     return rounded(_sentences(spark, sf, listed=True), "sentiment")
 
 
+_LEARNED_SQL = LEARNED + ", sents AS (SELECT doc_id, lang, source, generate_subscripts(s, 1) AS sentence_id, unnest(s) AS sentence FROM hidden)" + (
+    _SENTENCE_SQL[_SENTENCE_SQL.index(",\nclauses AS") :]
+)
+
+
+@query("sentence_sentiment_learned", _LEARNED_SQL + "SELECT doc_id, sentence_id, word_count, round(sentiment, 6) AS sentiment FROM scores")
+def sentence_sentiment_learned(spark, sf):
+    """Scores of sentences whose bounds were learned from the documents."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    found = bd.abbreviations(docs, "text")
+    return rounded(sn.sentence_sentiment(docs, "doc_id", "text", weights(spark), SHIFTERS, abbreviations=found), "sentiment")
+
+
 def _with_sentences(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "lang", "source")
     sentences = _sentences(spark, sf).withColumnRenamed("doc_id", "element_id")
