@@ -301,6 +301,18 @@ def attach_sentences(responses: DataFrame, sentences: DataFrame, row_id: str, el
     return responses.join(sentences.withColumnRenamed(element_id, "_e"), F.col(row_id) == F.col("_e"), "left").drop("_e")
 
 
+def quote_study(responses: DataFrame, row_id: str, text: str, polarity: Mapping[str, float] | DataFrame, shifters: Shifters,
+                abbreviations: DataFrame | None = None) -> DataFrame:
+    """(row_id, sentence_id, sentence, characters, word_count, sentiment): every sentence in lower case, its length without extra blanks, its score.
+
+    ``row_id`` must be unique; its null stands for one response.
+    """
+    scores = sentence_sentiment(responses, row_id, text, polarity, shifters, abbreviations)
+    sentences = split_sentences(responses, row_id, text, abbreviations=abbreviations)
+    lines = sentences.select(row_id, "sentence_id", F.lower("sentence").alias("sentence"), tx.squeezed_char_length("sentence").alias("characters"))
+    return attach(lines, scores, [row_id, "sentence_id"], "left")
+
+
 def sentiment_by_response(sentences: DataFrame, by: str | Sequence[str]) -> DataFrame:
     """Word count, sd and zero-down-weighted mean of sentence scores per response or group."""
     s = F.col("sentiment")

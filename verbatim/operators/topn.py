@@ -46,6 +46,11 @@ def top_facets(df: DataFrame, k: int, term: str, facet: str, weight: str = "n")
     return bar_order(best, term, weight, facet).withColumn("label", facet_label(term, facet))
 
 
+def top_bars(df: DataFrame, k: int, term: str, weight: str = "n") -> DataFrame:
+    """Bars of a chart without facets: null terms out, top k with ties, and bar order."""
+    return bar_order(top_n(df.where(F.col(term).isNotNull()), k, weight), term, weight)
+
+
 def sort_desc(df: DataFrame, value: str, term: str) -> DataFrame:
     return df.orderBy(F.desc(value), F.asc(term))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verbatim.functions import text as tx
-from verbatim.operators import clean as cl, contrast as cn, counts as ct, keyed, network as nw, tfidf as ti, tokens as tk, topn as tn
+from verbatim.operators import clean as cl, contrast as cn, counts as ct, keyed, network as nw, reshape as rs, tfidf as ti, tokens as tk, topn as tn
 from verbatim.plans.base import ENGLISH, TARGETS, polarity, query, role_tokens, rounded, surveys, table, tokens
 from verbatim.operators.sentiment import polarity_word_counts
+from verbatim.plans.cleaning import _CLEAN
 
 
 # --- counts -----------------------------------------------------------------
@@ -302,12 +303,54 @@ def comparison_terms(spark, sf):
     return rounded(cn.comparison_terms(counts, "word", "sentiment", ["positive", "negative"]), "deviation", digits=12)
 
 
+_LANGS = ["en", "de", "fr", "es"]
+
+
+def _comparison_sql() -> str:
+    rates = ", ".join(f"coalesce(CAST(count_if(lang = '{c}') AS DOUBLE) / nullif((SELECT count(*) FROM nostop WHERE lang = '{c}'), 0), 0) AS r{k}" for k, c in enumerate(_LANGS))
+    mean = "((" + " + ".join(f"r{k}" for k in range(len(_LANGS))) + f") / {len(_LANGS)})"
+    best = "greatest(" + ", ".join(f"d{k}" for k in range(len(_LANGS))) + ")"
+    owner = " ".join(f"WHEN d{k} = {best} THEN '{c}'" for k, c in enumerate(_LANGS))
+    return f"""SELECT word, CASE {owner} END AS lang, round({best}, 12) AS deviation FROM (
+    SELECT word, {", ".join(f"r{k} - {mean} AS d{k}" for k in range(len(_LANGS)))} FROM (SELECT word, {rates} FROM nostop
+    WHERE lang IN ({", ".join(f"'{c}'" for c in _LANGS)}) GROUP BY word)) ORDER BY {best} DESC, word LIMIT 125"""
+
+
+@query("comparison_terms_languages", _comparison_sql())
+def comparison_terms_languages(spark, sf):
+    """Terms of four categories by how far their rate in one exceeds the mean."""
+    counts = ct.count_by(tokens(spark, sf, "lang"), "lang", "word")
+    return rounded(cn.comparison_terms(counts, "word", "lang", _LANGS), "deviation", digits=12)
+
+
 @query(
     "frequent_terms",
+    f"""SELECT term, count(*) AS n FROM (SELECT unnest(string_split({_CLEAN}, ' ')) AS term FROM conversations WHERE role IN ('user', 'assistant'))
+    WHERE length(term) >= 3 GROUP BY term ORDER BY n DESC, term LIMIT 50""",
+)
+def frequent_terms(spark, sf):
+    """Most frequent terms of the cleaned term-document table."""
+    turns = table(spark, sf, "conversations", "role", "text").where(F.col("role").isin("user", "assistant"))
+    return cn.frequent_terms(rs.term_document_table(turns.select("role", tx.clean_corpus("text", ENGLISH).alias("clean")), "role", "clean"))
+
+
+@query(
+    "top_terms_overall",
+    """SELECT *, row_number() OVER (ORDER BY n, word) AS ord FROM (SELECT word, count(*) AS n FROM nostop WHERE word IS NOT NULL GROUP BY word
+    QUALIFY rank() OVER (ORDER BY n DESC) <= 20)""",
+)
+def top_terms_overall(spark, sf):
+    """Bars of a chart without facets."""
+    return tn.top_bars(ct.count_by(tokens(spark, sf), "word"), 20, "word")
+
+
+@query(
+    "frequent_tokens",
     """SELECT word AS term, count(*) AS n FROM roles WHERE role IN ('user', 'assistant') AND length(word) >= 3 GROUP BY word
     ORDER BY n DESC, word LIMIT 50""",
 )
-def frequent_terms(spark, sf):
+def frequent_tokens(spark, sf):
+    """The same over plain tokens."""
     words = role_tokens(spark, sf).where(F.col("role").isin("user", "assistant") & (F.char_length("word") >= 3))
     table_ = ct.count_by(words, "word", "role").withColumnRenamed("word", "term")
     return cn.frequent_terms(table_)

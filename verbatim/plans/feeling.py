@@ -223,6 +223,17 @@ def sentence_sentiment_learned(spark, sf):
     return rounded(sn.sentence_sentiment(docs, "doc_id", "text", weights(spark), SHIFTERS, abbreviations=found), "sentiment")
 
 
+@query(
+    "quote_study",
+    _SENTENCE_SQL + r"""SELECT doc_id, sentence_id, lower(s.sentence) AS sentence, length(regexp_replace(s.sentence, '[ \t\n\f\r]+', ' ', 'g')) AS characters,
+    word_count, round(sentiment, 6) AS sentiment FROM sents s JOIN scores USING (doc_id, sentence_id)""",
+)
+def quote_study(spark, sf):
+    """Sentences with length and score in one call."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return rounded(sn.quote_study(docs, "doc_id", "text", weights(spark), SHIFTERS), "sentiment")
+
+
 def _with_sentences(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "lang", "source")
     sentences = _sentences(spark, sf).withColumnRenamed("doc_id", "element_id")
