@@ -317,6 +317,44 @@ def test_measures_equal_brute_force(spark, documents, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+def shares(text):
+    """Characters of words inside repeated n-grams, lines and runs of signs, as shares of all."""
+    spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    words = [text[a:b] for a, b in spans]
+    total = sum(map(len, words))
+    out = {}
+    for n in quality.COVERAGE_LIMITS:
+        grams = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+        inside = {k + j for k in range(len(words) - n + 1) if grams[tuple(words[k : k + n])] > 1 for j in range(n)}
+        out[f"dup_{n}gram_share"] = sum(len(words[k]) for k in inside) / total if total else 0.0
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += sum(map(len, WORD.findall(line))) if line in seen else 0
+            seen.add(line)
+    signs = re.findall(r"[#*$%&|<>]+", text)
+    count = Counter(signs)
+    out["dup_line_share"] = dup / total if total else 0.0
+    out["dup_sign_share"] = sum(len(s) for s in signs if count[s] > 1) / total if total else 0.0
+    return out
+
+
+def test_coverage_and_verdict_equal_brute_force(spark, documents):
+    more = ["a b c d e f\na b c d e f\n\n \nx", "# a\r\n# a\r\n", "é ß #|<\n" * 12, "###", "##", "### x ## y ###", " ".join(f"w{k} | v{k}" for k in range(40))]
+    more += [" ".join(f"w{k}$$$" for k in range(30)), " ".join(f"w{k % 25}" for k in range(60)), " ".join(f"w{k}" for k in range(60)) + " #"]
+    extra = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    every = documents.select("doc_id", "text").union(extra)
+    limits = {**{f"dup_{n}gram_share": x for n, x in quality.COVERAGE_LIMITS.items()}, "dup_line_share": quality.LINE_LIMIT, "dup_sign_share": quality.SIGN_LIMIT}
+    want = []
+    for i, t in rows_of(every):
+        got, (n_words, _, _, _, n_repeat) = shares(t or ""), measured(t or "")
+        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+        bad = n_words >= quality.LEAST_FOR_COVERAGE and any(got[c] > x for c, x in limits.items())
+        want.append((i, *(round(got[c], 9) for c in limits), failed, not failed and not bad))
+    rows = [(r.doc_id, *(round(r[c], 9) for c in limits), r.base_failed, r.kept) for r in quality.quality(every).collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str) and {r[-1] for r in rows} == {True, False}
+
+
 # --- 6 ------------------------------------------------------------------------
 
 def base_of(text):

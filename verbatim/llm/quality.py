@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths are taken from word hashes in numpy, and
-the characters inside n-grams or lines that occur twice or more in a text are
-measured. Texts are independent: the job is one scan without shuffle.
+the characters inside n-grams, lines or runs of signs that occur twice or more in a
+text are measured. Texts are independent: the job is one scan without shuffle.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from verbatim.llm.common import Words, map_slices, mix, per_row, text_of
 
-#: N-gram length in words, and the largest share of characters that repeated ones may cover.
-COVERAGE_LIMITS = {2: 0.45, 3: 0.30, 5: 0.25, 7: 0.25, 10: 0.20}
-#: Fixed value: the same for repeated lines.
-LINE_LIMIT = 0.30
+#: N-gram length in words, and the largest share of characters that repeated ones may cover. They fall with
+#: the length, as a longer repeat says more; that of five words lies where the base rule is, so that longer words count.
+COVERAGE_LIMITS = {2: 0.45, 3: 0.30, 5: 0.20, 7: 0.18, 10: 0.15}
+#: The same for repeated lines, and for repeated runs of the signs that are no prose.
+LINE_LIMIT, SIGN_LIMIT = 0.30, 0.05
 #: Fewest words, and percent of words in repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Repeats count only in texts of so many words; short ones repeat by chance.
 LEAST_FOR_COVERAGE = 20
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_share double, " + ", ".join(
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_share double, dup_sign_share double, " + ", ".join(
     f"dup_{n}gram_share double" for n in COVERAGE_LIMITS
 )
 
@@ -89,6 +90,19 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     dup_chars = np.bincount(row[dup], weights=(so_far[hi] - so_far[lo])[dup], minlength=len(w.count))
     share = lambda part: np.divide(part, chars, out=np.zeros(len(chars)), where=chars > 0)
     out["dup_line_share"] = share(dup_chars)
+    # Runs of signs within a text.
+    signs = symbol[data]
+    opens, shuts = signs.copy(), signs.copy()
+    opens[1:] &= ~signs[:-1]
+    shuts[:-1] &= ~signs[1:]
+    edge = w.rows[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    opens[edge] |= signs[edge]
+    shuts[edge - 1] |= signs[edge - 1]
+    begin, finish = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+    row = np.searchsorted(w.rows, begin, "right") - 1
+    again = repeated(w.spans.hash(begin, finish) ^ salt[row])
+    out["dup_sign_share"] = share(np.bincount(row[again], (finish - begin)[again], len(w.count)))
     for n in COVERAGE_LIMITS:
         at, grams = w.grams(n)
         again = at[repeated(grams ^ salt[w.row[at]])] if len(at) else at
@@ -114,7 +128,7 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = df.schema[key].dataType.simpleString()
     rows = map_slices(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", f"_key {kind}, {MEASURES}", step)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    repeats = F.col("dup_line_share") > LINE_LIMIT
+    repeats = (F.col("dup_line_share") > LINE_LIMIT) | (F.col("dup_sign_share") > SIGN_LIMIT)
     for n, limit in COVERAGE_LIMITS.items():
         repeats |= F.col(f"dup_{n}gram_share") > limit
     fine = ~((F.col("n_words") >= LEAST_FOR_COVERAGE) & repeats)
