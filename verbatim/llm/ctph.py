@@ -27,7 +27,7 @@ _U32 = np.uint32
 
 
 def block_size(n: int) -> int:
-    """Smallest doubling of LEAST_BLOCK at which about LENGTH chunks cover n bytes."""
+    """Smallest doubling of LEAST_BLOCK at which about LENGTH chunks cover n bytes; it is halved again where boundaries are few."""
     size = LEAST_BLOCK
     while size * LENGTH < n:
         size *= 2
@@ -61,6 +61,10 @@ def fingerprints(texts: list[bytes]) -> list[str]:
         size = block_size(int(b - a))
         part = hashes[a:b]
         ends = np.flatnonzero(part % _U32(size) == size - 1)
+        # A text with few boundaries gets smaller blocks, until its signature says enough.
+        while size > LEAST_BLOCK and len(ends) + 1 < HALF:
+            size //= 2
+            ends = np.flatnonzero(part % _U32(size) == size - 1)
         signatures = []
         for most, keep in ((LENGTH, ends), (HALF, ends[part[ends] % _U32(2 * size) == 2 * size - 1])):
             stop = keep[: most - 1] + 1
@@ -72,7 +76,11 @@ def fingerprints(texts: list[bytes]) -> list[str]:
 
 
 def likeness(left: str, right: str) -> Column:
-    """Likeness of two fingerprint columns, 0 to 1; 1 for equal ones."""
+    """Likeness of two fingerprint columns, 0 to 1; 1 for equal ones, 0 if either is null.
+
+    It depends on the two alone, whatever the length of the texts and however often
+    rows repeat; fingerprints of empty texts are like nothing but each other.
+    """
     a, b = F.split(left, ":"), F.split(right, ":")
 
     def alike(x: Column, y: Column) -> Column:
