@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verbatim.llm.common import saved, slices, text_of
 from verbatim.llm.packing import Tokens
-from verbatim.llm.pieces import BLANK, Codec
+from verbatim.llm.pieces import BLANK, PARTS_KEPT, Codec
 
 #: A pair is common if it holds one in so many links, and a text if it has one in so many rows; at most as many are broadcast.
 COMMON_PAIRS, COMMON_TEXTS = 1 << 18, 1 << 10
@@ -36,9 +36,10 @@ class ByteTokens:
         model = self.tokens.model
         self.width = np.array([len(model.decode_single_token_bytes(i)) for i in range(model.n_vocab)], np.int32)
 
-    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids, or none if they leave out bytes of the text."""
         ids = self.tokens.numbers(" " + text, plain=True)
-        return ids, self.tokens.model.decode_bytes(ids.tolist())
+        return ids if int(self.width[ids].sum()) == 1 + len(text.encode()) else None
 
 
 class PieceTokens:
@@ -51,23 +52,36 @@ class PieceTokens:
             bytes([codec.byte[i]]) if codec.byte[i] is not None else codec.model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(len(codec.byte))
         ]
         self.width = np.array([len(b) for b in self.bytes], np.int32)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-
-    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
+        self.blank = np.array([codec.model.piece_to_id(BLANK)], "<i4").tobytes()
+        #: Ids of each part as bytes, and the parts that their ids do not spell.
+        self.kept: dict[str, bytes] = {}
+        self.bad: set[str] = set()
+
+    def learn(self, parts: list[str]) -> None:
+        """Segment parts in one call of the library, which puts the first blank mark in front of each."""
+        for part, ids in zip(parts, self.codec.model.encode(parts, num_threads=1), strict=True):
+            if not part:
+                self.kept[part] = self.blank
+                continue
+            self.kept[part] = np.array(ids, "<i4").tobytes()
+            if b"".join([self.bytes[i] for i in ids]) != (" " + part.replace(BLANK, " ")).encode():
+                self.bad.add(part)
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids, or none if they do not spell a blank and the text: a blank mark in the text is taken for a blank."""
+        if BLANK in text:
+            return None
         parts = self.codec.parts_of(BLANK + text.replace(" ", BLANK))
-        kept = self.kept
-        new = [p for p in set(parts) if p not in kept]
+        new = [p for p in set(parts) if p not in self.kept]
         if new:
-            self.codec.learn(new)
-            if len(kept) > len(self.codec.kept):
-                kept.clear()
+            if len(self.kept) > PARTS_KEPT:
+                self.kept.clear()
+                self.bad.clear()
                 new = list(set(parts))
-                self.codec.learn(new)
-            for p in new:
-                ids = self.codec.kept[p].ids
-                kept[p] = (np.array(ids, "<i4").tobytes(), b"".join([self.bytes[i] for i in ids]))
-        known = [kept[p] for p in parts]
-        return np.frombuffer(b"".join([k[0] for k in known]), "<i4"), b"".join([k[1] for k in known])
+            self.learn(new)
+        if self.bad and not self.bad.isdisjoint(parts):
+            return None
+        return np.frombuffer(b"".join([self.kept[p] for p in parts]), "<i4")
 
 
 class Aligner:
@@ -82,13 +96,12 @@ class Aligner:
     def align(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Numbers of tokens of both sides, groups and links, digest of the groups, and each linked id pair with its number of links."""
         nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32))
-        source = (" " + text).encode()
-        a, a_bytes = self.a.encode(text)
-        b, b_bytes = self.b.encode(text)
-        if not text or a_bytes != source or b_bytes != source:
+        a = self.a.encode(text) if text else None
+        b = self.b.encode(text) if a is not None else None
+        if b is None:
             return nothing
         end_a, end_b = np.cumsum(self.a.width[a]), np.cumsum(self.b.width[b])
-        ends = np.zeros((2, len(source) + 1), bool)
+        ends = np.zeros((2, int(end_a[-1]) + 1), bool)
         ends[0, end_a] = True
         ends[1, end_b] = True
         last_a, last_b = ends[1, end_a], ends[0, end_b]
