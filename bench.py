@@ -16,7 +16,7 @@ from verbatim.session import local_session
 HEADLINE = [
     "word_counts", "word_counts_by", "top_n_by_group", "ngram_counts", "ngram_counts_by", "bigram_edges", "tf_idf",
     "top_tf_idf_by_group", "polarity_word_counts_by", "response_mean_score", "segment_polarity", "sentence_sentiment",
-    "sentiment_by_response", "comparison_terms", "boxplot_stats", "density_ridges", "bar_order", "fit_lda", "fit_topics", "topic_labels_frex", "add_row_id",
+    "sentiment_by_response", "comparison_terms", "boxplot_stats", "density_ridges", "bar_order", "fit_lda", "fit_topics", "fit_topics_converged", "topic_labels_frex", "add_row_id",
     "strip_reply_prefix", "ngrams_over_tokens", "group_sum_keep_rows",
 ]
 

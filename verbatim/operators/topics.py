@@ -238,7 +238,8 @@ def fit_topics(
     """Fit ``k`` topics until the log-likelihood gains less than ``tolerance`` of itself, or for ``iterations`` steps.
 
     ``start`` is "hash" (term weights from a hash) or "spectral" (from anchor terms
-    that occur in ``least_documents`` documents or more). ``prior`` is "shares" (a
+    that occur in ``least_documents`` documents or more). A hash start has topics that
+    are nearly alike, and gains little in its first steps: a loose tolerance stops it there. ``prior`` is "shares" (a
     constant added to each document's counts) or "correlated": the logits of the
     documents' shares are normal, and their mean and covariance are fitted as well.
     All documents start with equal shares, and one without words keeps the mean's.

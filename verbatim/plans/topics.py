@@ -12,6 +12,7 @@ from verbatim.plans.base import ENGLISH, query, rounded, table, tokens
 
 
 ITERATIONS = 2  # of the queries whose SQL twins write the steps out
+TOLERANCE = 1e-3  # of the fits that stop by themselves
 _MODELS: WeakKeyDictionary[SparkSession, dict[tuple, tp.TopicModel]] = WeakKeyDictionary()
 
 
@@ -92,13 +93,13 @@ def fit_topics(spark, sf):
 @query("fit_lda_converged")
 def fit_lda_converged(spark, sf):
     """Best ten terms of two topics, fitted until the likelihood stops."""
-    return tp.top_terms_per_topic(_beta(_fitted(spark, sf, "doc_id", 2)), 10)
+    return tp.top_terms_per_topic(_beta(_fitted(spark, sf, "doc_id", 2, tolerance=TOLERANCE, start="spectral")), 10)
 
 
 @query("fit_topics_converged")
 def fit_topics_converged(spark, sf):
     """Best ten terms of four correlated section topics from a spectral start, fitted until the likelihood stops."""
-    return tp.top_terms_per_topic(_beta(_fitted(spark, sf, "source", 4, start="spectral", prior="correlated")), 10)
+    return tp.top_terms_per_topic(_beta(_fitted(spark, sf, "source", 4, tolerance=TOLERANCE, start="spectral", prior="correlated")), 10)
 
 
 def _spectral(document: str, k: int, least: int) -> str:
