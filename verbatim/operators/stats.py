@@ -178,15 +178,18 @@ def boxplot_outliers(df: DataFrame, value: str, by: str | Sequence[str], coef: f
     return beyond.select(*by, value, F.col("_n").alias("n"))
 
 
-def density_ridges(df: DataFrame, value: str, by: str | Sequence[str], points: int = 512, few_values: bool = True) -> DataFrame:
-    """Gaussian kernel density of each group on one common grid, from linearly binned values.
+def density_ridges(df: DataFrame, value: str, by: str | Sequence[str], points: int = 512, few_values: bool = True,
+                   binned: bool | None = None) -> DataFrame:
+    """Gaussian kernel density of each group on one common grid.
 
     The bandwidth is the mean over groups of 0.9 * min(sd, IQR / 1.34) * n^-0.2;
-    the grid reaches three bandwidths beyond the data. Each value is split between the
-    two grid points around it, by nearness; kernels are then summed over the grid, so
-    that what they are summed from is at most ``points`` rows for each group.
+    the grid reaches three bandwidths beyond the data. Few distinct values add their
+    count-weighted kernels one by one. With ``binned``, always so for continuous values,
+    each value is split between the two grid points around it, by nearness, and kernels
+    are summed over the grid: from at most ``points`` rows for each group.
     """
     by = names(by)
+    binned = not few_values if binned is None else binned
     if few_values:
         counted = value_counts(df, value, by)
     else:
@@ -210,10 +213,14 @@ def density_ridges(df: DataFrame, value: str, by: str | Sequence[str], points: i
     bw = frame.getField("bw")
     start = frame.getField("low") - 3 * bw
     step = (frame.getField("high") + 3 * bw - start) / (points - 1)
-    binned = counted.withColumn("_at", (x - start) / step).withColumn("_left", F.floor("_at"))
+    if not binned:
+        at = counted.withColumn("point", F.explode(steps(points))).withColumn("_at", start + F.col("point") * step)
+        z = (F.col("_at") - x) / bw
+        return _scaled(at.groupBy(*by, "point", "_at").agg(F.sum(n * F.exp(-0.5 * z * z)).alias("_k")), groups, by, bw)
+    split = counted.withColumn("_at", (x - start) / step).withColumn("_left", F.floor("_at"))
     part = F.col("_at") - F.col("_left")
     halves = F.array(F.struct(F.col("_left").alias("cell"), (n * (1 - part)).alias("w")), F.struct((F.col("_left") + 1).alias("cell"), (n * part).alias("w")))
-    cells = binned.select(*by, F.inline(halves)).groupBy(*by, "cell").agg(F.sum("w").alias("w"))
+    cells = split.select(*by, F.inline(halves)).groupBy(*by, "cell").agg(F.sum("w").alias("w"))
     # At most ``points`` cells per group.
     lists = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "w"))).alias("_cells"))
     at = lists.withColumn("_step", step / bw).withColumn("point", F.explode(steps(points)))
@@ -223,6 +230,11 @@ def density_ridges(df: DataFrame, value: str, by: str | Sequence[str], points: i
         return total + c["w"] * F.exp(-0.5 * z * z)
 
     kernels = at.select(*by, "point", (start + F.col("point") * step).alias("_at"), F.aggregate("_cells", F.lit(0.0), kernel).alias("_k"))
+    return _scaled(kernels, groups, by, bw)
+
+
+def _scaled(kernels: DataFrame, groups: DataFrame, by: list[str], bw: Column) -> DataFrame:
+    """Densities from kernel sums; groups of fewer than three values have none."""
     out = attach(kernels, groups.select(*by, "_size"), by)
     density = F.col("_k") / (F.col("_size") * bw * math.sqrt(2 * math.pi))
     return out.where(F.col("_size") >= 3).select(*by, "point", F.col("_at").alias("x"), density.alias("density"))

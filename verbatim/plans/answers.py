@@ -240,12 +240,32 @@ def _density_sql(rows: str, value: str, by: str) -> str:
     FROM kern JOIN grp USING ({by}) WHERE size >= 3"""
 
 
-@query("density_ridges", _density_sql("survey", "word_count", "segment_name, device").format(digits=6))
+@query(
+    "density_ridges",
+    """, freq AS (SELECT segment_name, device, word_count::DOUBLE AS v, count(*) AS c FROM survey GROUP BY ALL),
+    grp AS (SELECT segment_name, device, count(*) AS size, stddev_samp(word_count) AS sd,
+      (quantile_cont(word_count::DOUBLE, 0.75) - quantile_cont(word_count::DOUBLE, 0.25)) / 1.34::DOUBLE AS iqr, min(word_count)::DOUBLE AS lo,
+      max(word_count)::DOUBLE AS hi FROM survey GROUP BY ALL),
+    frame AS (SELECT avg(CASE WHEN size > 1 THEN 0.9::DOUBLE * coalesce(nullif(least(sd, iqr), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
+      * pow(size, -0.2::DOUBLE) END) AS bw, min(lo) AS lo, max(hi) AS hi FROM grp),
+    grid AS (SELECT unnest(range(0, 512)) AS point),
+    pts AS (SELECT point, bw, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS x FROM grid, frame),
+    kern AS (SELECT segment_name, device, point, x, bw, sum(c * exp(-0.5::DOUBLE * ((x - v) / bw) * ((x - v) / bw))) AS k FROM freq, pts GROUP BY ALL)
+    SELECT segment_name, device, point, round(x, 4) AS x, round(k / (size * bw * sqrt(2 * pi())), 6) AS density
+    FROM kern JOIN grp USING (segment_name, device) WHERE size >= 3""",
+)
 def density_ridges(spark, sf):
     out = st.density_ridges(_lengths(spark, sf), "word_count", ["segment_name", "device"])
     return rounded(rounded(out, "x", digits=4), "density")
 
 
+@query("density_ridges_binned", _density_sql("survey", "word_count", "segment_name, device").format(digits=6))
+def density_ridges_binned(spark, sf):
+    """The same with values binned onto the grid."""
+    out = st.density_ridges(_lengths(spark, sf), "word_count", ["segment_name", "device"], binned=True)
+    return rounded(rounded(out, "x", digits=4), "density")
+
+
 # --- continuous values ------------------------------------------------------
 
 def _prices(spark, sf):
