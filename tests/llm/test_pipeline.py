@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_operators import base_of, linked
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,19 @@ def test_repeats_are_cut_and_secrets_go(stages):
 
 def test_pieces_cover_what_was_kept(stages):
     assert {r.doc_id for r in stages[5].collect()} == {r.doc_id for r in stages[4].collect()}
+
+
+def test_stages_take_an_empty_table_and_any_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["had_text", "doc", "hash", "_id", "_text", "_row", "_key", "node"]
+    more = docs.where("doc_id < 40").select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0, name
+        if name == "best-fit packing":
+            continue
+        assert none.columns == docs.columns
+        kept = stage(spark, more, SF)
+        assert kept.columns == more.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
