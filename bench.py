@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from verbatim.plans import catalog
+from verbatim.plans import catalog, topics
 from verbatim.session import local_session
 
 HEADLINE = [
@@ -25,7 +25,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     only = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
-    queries = catalog.queries()
+    queries = catalog.queries() | topics.CONVERGED
     queries["word_count"](spark, sf).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in only:
