@@ -234,15 +234,16 @@ def passes(sieve: Column, word: Column) -> Column:
 
 
 def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: Mapping[str, float] | DataFrame, shifters: Shifters,
-                       abbreviations: DataFrame | None = None) -> DataFrame:
+                       abbreviations: DataFrame | None = None, sieve: bool = False) -> DataFrame:
     """(row_id, sentence_id, word_count, sentiment) for each sentence of each row.
 
     A clause is written as a string with one code letter per word, and a polar word
     is weighed by the codes of the five words before and the two words after it. With
     a mapping of words to weights everything happens inside the sentence, without any
-    shuffle. With a (word, weight) table, words that a Bloom filter of the table lets
-    pass leave their sentence with the codes around them, the join keeps the polar
-    ones, and their sums are shuffled. Rows are told apart by place, so ``row_id`` may
+    shuffle. With a (word, weight) table words leave their sentence with the codes
+    around them, the join keeps the polar ones, and their sums are shuffled. With
+    ``sieve`` only words that a Bloom filter of the table lets pass leave: dearer where
+    Spark broadcasts the table, cheaper where the words would be shuffled to it. Rows are told apart by place, so ``row_id`` may
     repeat or be null. ``abbreviations`` is a table of words whose periods end no sentence.
     """
     coded = shifters.by_code()
@@ -281,8 +282,11 @@ def sentence_sentiment(responses: DataFrame, row_id: str, text: str, polarity: M
     split = split_sentences(numbered, row_id, text, "_row", abbreviations=abbreviations).withColumn("codes", codes)
     nothing = F.lit("")
     marker = F.struct(F.concat(F.lit(" "), F.col("_row").cast("string")).alias("word"), nothing.alias("before"), nothing.alias("after"))
-    possible = F.filter(F.flatten(F.zip_with("clauses", "codes", with_context)), lambda near: passes(F.col("_sieve"), near["word"]))
-    contexts = split.withColumn("_sieve", word_sieve(polarity)).select(
+    possible = F.flatten(F.zip_with("clauses", "codes", with_context))
+    if sieve:
+        split = split.withColumn("_sieve", word_sieve(polarity))
+        possible = F.filter(possible, lambda near: passes(F.col("_sieve"), near["word"]))
+    contexts = split.select(
         row_id, "_row", "sentence_id", n_words.alias("_n"), F.inline(F.concat(F.array(marker), possible))
     )
     lexicon = polarity.select(F.col("word"), F.col("weight").cast("double").alias("_p"))

@@ -220,7 +220,7 @@ def sentence_sentiment_learned(spark, sf):
     """Scores of sentences whose bounds were learned from the documents."""
     docs = table(spark, sf, "documents", "doc_id", "text")
     found = bd.abbreviations(docs, "text")
-    return rounded(sn.sentence_sentiment(docs, "doc_id", "text", weights(spark), SHIFTERS, abbreviations=found), "sentiment")
+    return rounded(sn.sentence_sentiment(docs, "doc_id", "text", weights(spark), SHIFTERS, abbreviations=found, sieve=True), "sentiment")
 
 
 @query(
