@@ -151,3 +151,39 @@ def test_no_words_and_too_few_anchors(spark, corpus):
     assert fit.terms.count() == 0 and fit.likelihood == () and {(r.t1, r.t2) for r in fit.documents.collect()} == {(0.5, 0.5)}
     with pytest.raises(ValueError, match="fewer than"):
         tp.spectral_start(corpus[0], "doc", 3, least_documents=1000)
+
+
+@pytest.mark.parametrize("prior", ["shares", "correlated"])
+def test_rare_terms_are_fitted_like_common_ones(corpus, monkeypatch, prior):
+    """However few terms are broadcast, the fit is the same."""
+    cells, documents = corpus
+    fits = []
+    for most in (tp.COMMON_TERMS, 7, 0):
+        monkeypatch.setattr(tp, "COMMON_TERMS", most)
+        fits.append(tp.fit_topics(cells, documents, "doc", 2, iterations=2, tolerance=None, prior=prior))
+    for key, of in (("term", "terms"), ("doc", "documents")):
+        first, *others = [table(getattr(f, of), key, ["t1", "t2"]) for f in fits]
+        assert all(set(o) == set(first) and all(np.allclose(o[x], first[x]) for x in first) for o in others)
+    assert np.allclose(fits[0].likelihood, fits[1].likelihood) and np.allclose(fits[0].likelihood, fits[2].likelihood)
+
+
+def test_common_terms_are_bounded_and_the_commonest(corpus, monkeypatch):
+    cells, _ = corpus
+    cells = cells.where("term is not null")
+    monkeypatch.setattr(tp, "COMMON_TERMS", 7)
+    counted, vocabulary, common, rare = tp._numbered(cells, "doc")
+    size = {r.term: r.n for r in cells.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    often = {r.term for r in vocabulary.where("_common").collect()}
+    assert 0 < len(often) <= 7 and min(size[t] for t in often) > max(n for t, n in size.items() if t not in often)
+    assert common.count() == sum(size[t] for t in often) and common.count() + rare.count() == cells.count()
+    scratch.discard(counted, common, rare)
+
+
+def test_a_step_sums_both_ways_in_one_pass(spark, corpus, monkeypatch):
+    """A step writes its sums once, reading common and rare cells once each; cells of common terms are not shuffled by term."""
+    seen = []
+    whole = tp._sums
+    monkeypatch.setattr(tp, "_sums", lambda *a: seen.append(whole(*a)) or seen[-1])
+    tp.fit_topics(*corpus, "doc", 2, iterations=1, tolerance=None).remove()
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and plan.count("Expand") == 1 and "rightHint=(strategy=broadcast)" in plan
