@@ -84,3 +84,40 @@ def test_only_possible_words_leave_their_sentence(spark, sf):
     polar = words.join(lexicon, "word").count()
     passing = words.withColumn("s", sn.word_sieve(lexicon)).where(sn.passes(F.col("s"), F.col("word"))).count()
     assert 0 < polar <= passing <= 1.1 * polar < 0.2 * words.count()
+
+
+def test_lookups_compare_few_words(spark):
+    """Twenty thousand abbreviations are dealt to slots, and cut texts as a list of them does."""
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(20_000)]
+    table = spark.createDataFrame([(w,) for w in words] + [(words[0],), (None,)], "word string")
+    known = spark.range(1).select(bd.abbreviation_list(table).alias("k"))
+    sizes = [len(s) for s in known.first()["k"] if s is not None]
+    assert sum(sizes) == len(words) and max(sizes) < 40
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice([*words[:9], "etc", "no", "W" + words[3][1:], "("]) + rng.choice([". ", " ", ".\n", ".) ", "! ", " . "]) for _ in range(40)) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None, " ", ".", "x", "wa. "]], "t string")
+    df = df.withColumn("k", bd.abbreviation_list(table))
+    got = df.select(tx.bounded_sentences("t", F.col("k")).alias("a"), tx.bounded_sentences("t", words[:9] + [words[3]]).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
+def test_a_long_text_takes_no_stack(spark):
+    df = spark.createDataFrame([("word " * 300_000 + "e.g. x. y",)], "t string")
+    assert [len(s) for s in df.select(tx.bounded_sentences("t", ["e.g"]).alias("s")).first()["s"]] == [1_500_007, 1]
+
+
+def test_period_counts_of_odd_ends(spark):
+    df = spark.createDataFrame([('a.) b.", c! d e.\u2028 f.. g.h. (i .j',), (None,)], "t string")
+    got = {r.word: (r.with_period, r.without) for r in bd.period_counts(df, "t").collect()}
+    assert got == {"a": (1, 0), "b": (1, 0), "c": (0, 1), "d": (0, 1), "e": (1, 0), "g.h": (1, 0), "i": (0, 1)}
+
+
+def test_learning_reads_the_texts_once(spark, sf):
+    """The share of periods and the scores are read from the same shuffled counts."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = bd.abbreviations(spark.read.parquet(f"{sf}/documents.parquet"), "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "ReusedExchange" in plan

@@ -14,7 +14,9 @@ def period_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, with_period, without, small_after): how often each word stands with a period at its end, and before a small letter then."""
     pieces = F.filter(F.split(F.col(text), r"[ \t\n\f\r]+"), lambda p: p != "")
     rows = df.select(pieces.alias("_p")).select(F.inline(F.transform("_p", lambda p, i: F.struct(p.alias("p"), F.get("_p", i + 1).alias("after")))))
-    rows = rows.select(tx.abbreviation_core(F.col("p")).alias("word"), (F.regexp_extract("p", tx.WORD_PIECE, 2) == ".").alias("dot"), "after").where("word <> ''")
+    # of a piece that is a word, only marks can follow the period
+    dot = F.endswith(F.rtrim("p", F.lit(tx.MARKS_AFTER)), F.lit("."))
+    rows = rows.select(tx.abbreviation_core(F.col("p")).alias("word"), dot.alias("dot"), "after").where("word <> ''")
     return rows.groupBy("word").agg(
         F.count_if("dot").alias("with_period"), F.count_if(~F.col("dot")).alias("without"), F.count_if(F.col("dot") & F.col("after").rlike(r"^[\p{Ll}]")).alias("small_after")
     )
@@ -40,15 +42,19 @@ def abbreviations(df: DataFrame, text: str, least: int = 3) -> DataFrame:
     nothing; a corpus without periods has none.
     """
     counts = period_counts(df, text)
-    share = counts.agg(F.sum("with_period") / F.sum(F.col("with_period") + F.col("without"))).scalar()
+    # reading all counts lets both sides share the shuffle behind them, so the texts are read once
+    dots = F.when(F.col("small_after") >= 0, F.col("with_period"))
+    share = counts.agg(F.sum(dots) / F.sum(F.col("with_period") + F.col("without"))).scalar()
     scored = counts.where(F.col("with_period") >= least).withColumn("score", _score(share))
     small = F.col("small_after") * 2 >= F.col("with_period")
     return scored.where((F.col("score") >= SURE) | (small & (F.col("score") >= LIKELY)))
 
 
 def abbreviation_list(found: DataFrame) -> Column:
-    """The words of an abbreviation table as one array."""
-    return found.agg(F.sort_array(F.collect_set("word")).alias("words")).scalar()
+    """The words of an abbreviation table as ``tx.WORD_SLOTS`` arrays by hash."""
+    slots = found.where(F.col("word").isNotNull()).groupBy(tx.slot_of("word").alias("slot")).agg(F.collect_set("word").alias("words"))
+    filled = F.map_from_entries(F.collect_list(F.struct("slot", "words")))  # at most WORD_SLOTS
+    return slots.agg(filled.alias("_f")).select(F.transform(F.sequence(F.lit(0), F.lit(tx.WORD_SLOTS - 1)), lambda k: F.try_element_at("_f", k)).alias("known")).scalar()
 
 
 def learned_sentences(df: DataFrame, text: str, found: DataFrame, out: str = "sentence", lower: bool = True, sentence_id: str | None = None) -> DataFrame:
