@@ -280,3 +280,22 @@ def test_checkpoint_dir_is_the_sessions(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         assert scratch.scratch_path(spark, "x").startswith(folder)
+
+
+def test_grams_of_short_empty_and_null_rows(spark):
+    """Each row gives its n-grams with what it carries, whatever the columns are called; one null if it has too few words."""
+    df = spark.createDataFrame([(1, "A b c d"), (2, "one"), (3, ""), (4, None), (5, "x y"), (5, "x y")], "w1 int, t string")
+    assert rows(tk.ngrams(df, "t", 3), "w1", "ngram") == [(1, "a b c"), (1, "b c d"), (2, None), (3, None), (4, None), (5, None), (5, None)]
+    assert rows(tk.ngrams(df, "t", 1), "w1", "ngram") == [
+        (1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "one"), (3, None), (4, None), (5, "x"), (5, "x"), (5, "y"), (5, "y")
+    ]
+    assert rows(tk.ngrams(df, "t", 2, keep_short=False), "w1", "ngram") == [(1, "a b"), (1, "b c"), (1, "c d"), (5, "x y"), (5, "x y")]
+    assert rows(tk.pairs_without_stop_parts(df, "t", ["b"]), "w1", "word1", "word2") == [(1, "c", "d"), (5, "x", "y"), (5, "x", "y")]
+
+
+def test_grams_are_joined_as_rows(spark):
+    """No lambda runs for each n-gram: they are zipped, and joined in generated code."""
+    df = spark.createDataFrame([("a b c",)], "t string")
+    for made in (tk.ngrams(df, "t", 3), tk.pairs_without_stop_parts(df, "t", [])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "arrays_zip" in plan and "zip_with" not in plan and "sequence" not in plan
