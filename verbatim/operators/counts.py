@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from verbatim.operators.topn import top_n
 
 
-def count_by(df: DataFrame, *keys: str, out: str = "n", weight: str | None = None) -> DataFrame:
-    """Rows (or the sum of ``weight``) per key; null keys form a group."""
+def count_by(df: DataFrame, *keys: str, out: str = "n", weight: str | None = None, alone: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``weight``) per key; null keys form a group.
+
+    Where the boolean column ``alone`` is true, the row is known to be the only one of its key: it is
+    counted where it is, and only the other rows are shuffled.
+    """
+    if alone is not None:
+        own = df.where(alone).select(*keys, (F.lit(1).cast("long") if weight is None else F.col(weight)).alias(out))
+        return own.unionByName(count_by(df.where(~F.coalesce(alone, F.lit(False))), *keys, out=out, weight=weight))
     value = F.count("*") if weight is None else F.sum(weight)
     return df.groupBy(*keys).agg(value.alias(out))
 

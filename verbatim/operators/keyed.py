@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SALTS = 16
 #: Rows whose keys cut a table into ranges for numbering; one less than a power of two.
 RANGES = 255
+#: Numbers of 64 bits that mark the hashes of repeated keys.
+REPEAT_SLOTS = 1 << 18
 
 
 def names(by: str | Sequence[str] | None) -> list[str]:
@@ -42,6 +44,23 @@ def attach(left: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str
     return left.join(renamed, match, how).drop("_salt_l", "_salt_r", *[f"_k_{k}" for k in on])
 
 
+def with_alone(df: DataFrame, by: str | Sequence[str], out: str = "alone") -> DataFrame:
+    """Add whether a row is surely the only one of its key; nulls are equal.
+
+    The keys are read and counted by themselves. The hashes of the repeated ones are
+    bits of ``REPEAT_SLOTS`` numbers at most, whatever the size of the table, so these are
+    broadcast and the rows stay where they are. A row whose hash is that of another,
+    repeated key counts as not alone. Keys must hash as they compare, as all but floats do.
+    """
+    by = names(by)
+    place = F.pmod(F.xxhash64(*by), F.lit(64 * REPEAT_SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    repeated = df.select(*by).groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
+    marks = repeated.select(F.shiftright(place, 6).alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_mask"))
+    joined = df.join(F.broadcast(marks), F.shiftright(place, 6) == F.col("_slot"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_mask").bitwiseAND(bit) == 0, F.lit(True))).drop("_slot", "_mask")
+
+
 def group_sum_keep_rows(df: DataFrame, by: str | Sequence[str], value: str = "n") -> DataFrame:
     """Replace ``value`` by its sum over the group, keeping every row."""
     by = names(by)

@@ -58,7 +58,8 @@ def distinct_rows(spark, sf):
     WHERE word NOT IN ('tion', 'la', 'le', 'un', 'que')) GROUP BY word""",
 )
 def filtered_term_counts(spark, sf):
-    cells = ct.count_by(tokens(spark, sf, "lang", "source", "doc_id"), "word", "lang", "source", "doc_id")
+    words = tokens(spark, sf, "lang", "source", "doc_id", cells=True)
+    cells = ct.count_by(words, "word", "lang", "source", "doc_id", weight="times", alone="alone")
     return ct.count_by(cl.filter_not_in(cells, "word", ["tion", "la", "le", "un", "que"]), "word")
 
 

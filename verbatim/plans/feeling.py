@@ -49,7 +49,7 @@ def polarity_word_counts_by(spark, sf):
     "SELECT word, score, count(*) AS n FROM (SELECT DISTINCT doc_id, word FROM nostop) JOIN sco USING (word) GROUP BY ALL",
 )
 def score_word_counts(spark, sf):
-    per_row = ct.count_by(tokens(spark, sf, "doc_id"), "doc_id", "word")
+    per_row = ct.count_by(tokens(spark, sf, "doc_id", cells=True), "doc_id", "word", weight="times", alone="alone")
     return sn.score_word_counts(per_row, scores(spark))
 
 
