@@ -1,5 +1,6 @@
 """Topic fits against numpy, and what a fit leaves behind."""
 
+import hashlib
 import math
 import random
 from pathlib import Path
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatim.operators import topics as tp
+from verbatim.plans import catalog
 from verbatim.sources import scratch
 
 
@@ -187,3 +189,68 @@ def test_a_step_sums_both_ways_in_one_pass(spark, corpus, monkeypatch):
     tp.fit_topics(*corpus, "doc", 2, iterations=1, tolerance=None).remove()
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert len(seen) == 1 and plan.count("Expand") == 1 and "rightHint=(strategy=broadcast)" in plan
+
+
+def plain_fit(words, k):
+    """Weights of terms and shares of documents after as many steps as the likelihood takes to settle, and its values."""
+    n = {d: {t: ws.count(t) for t in sorted(set(ws))} for d, ws in words.items()}
+    bits = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    weight = {t: np.array([1 + bits(f"{t}:{i}") / 2**32 for i in range(1, k + 1)]) for c in n.values() for t in c}
+    share, history = {d: np.full(k, 1 / k) for d in n}, []
+    while True:
+        by_term, by_doc, total = {t: np.zeros(k) for t in weight}, {d: np.zeros(k) for d in n}, 0.0
+        for d, c in n.items():
+            for t, m in c.items():
+                p = weight[t] * share[d]
+                total += m * math.log(p.sum())
+                by_term[t] += m * p / p.sum()
+                by_doc[d] += m * p / p.sum()
+        history.append(total)
+        gains = np.abs(np.diff(history))
+        if len(gains) > 1 and gains[-1] <= gains[-2] and all(gains[-2:] <= 1e-5 * np.abs(history[-3:-1])):
+            return weight, share, history
+        s = sum(by_term.values())
+        weight = {t: (x + tp.TERM_PRIOR) / (s + tp.TERM_PRIOR * len(weight)) for t, x in by_term.items()}
+        share = {d: (x + tp.DOCUMENT_PRIOR) / (x + tp.DOCUMENT_PRIOR).sum() for d, x in by_doc.items()}
+
+
+@pytest.fixture(scope="module")
+def told(spark, tmp_path_factory):
+    """A folder with documents of four subjects, one of them in two rows and one without words; and (document, source, words) of the rows."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(48):
+        pool = [f"{'klmn'[i % 4]}{j}" for j in range(10)] + ["rain", "snow", "hail"]
+        rows.append((i, f"src{i % 12}", [rng.choice(pool) for _ in range(rng.randrange(20, 60))]))
+    rows += [(0, "src0", ["k1", "rain", "k2"]), (48, "src12", [])]
+    folder = str(tmp_path_factory.mktemp("told"))
+    texts = [(d, " ".join(ws), "en", s, len(" ".join(ws))) for d, s, ws in rows]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder, rows
+
+
+def words_by(rows, place):
+    words = {}
+    for row in rows:
+        words.setdefault(row[place], []).extend(row[2])
+    return words
+
+
+@pytest.fixture(scope="module")
+def responses(told):
+    return plain_fit(words_by(told[1], 0), 2)
+
+
+def test_only_small_gains_that_fall_are_the_end():
+    assert not tp.settled([-9.0, -8.0], 1e-2) and not tp.settled([9.0, -100.0, -99.99], 1e-2)
+    assert not tp.settled([-100.0, -99.99, -99.97, -99.9], 1e-2)  # topics nearly alike
+    assert not tp.settled([-100.0, -90.0, -89.9], 1e-2) and tp.settled([-100.0, -90.0, -89.9, -89.85], 1e-2)
+    assert tp.settled([-5.0, -5.0, -5.0], 1e-5) and tp.settled([0.0, 0.0, 0.0], 1e-5)
+
+
+def test_shares_of_a_settled_fit(spark, told, responses):
+    _, share, history = responses
+    assert len(history) > 10
+    got = {(r.doc_id, r.topic): r.gamma for r in catalog.queries()["doc_topics_gamma"](spark, told[0]).collect()}
+    assert got.keys() == {(d, i) for d in share for i in (1, 2)}
+    assert all(np.allclose([got[d, 1], got[d, 2]], s, atol=1e-8) for d, s in share.items())
