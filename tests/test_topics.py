@@ -254,3 +254,13 @@ def test_shares_of_a_settled_fit(spark, told, responses):
     got = {(r.doc_id, r.topic): r.gamma for r in catalog.queries()["doc_topics_gamma"](spark, told[0]).collect()}
     assert got.keys() == {(d, i) for d in share for i in (1, 2)}
     assert all(np.allclose([got[d, 1], got[d, 2]], s, atol=1e-8) for d, s in share.items())
+
+
+def test_best_terms_of_a_settled_fit(spark, told, responses):
+    want = set()
+    for i in range(2):
+        beta = {t: round(w[i], 10) for t, w in responses[0].items()}
+        least = sorted(beta.values())[-10]
+        want |= {(i + 1, t) for t, b in beta.items() if b >= least}
+    got = {(r.topic, r.term): r.beta for r in catalog.queries()["fit_lda"](spark, told[0]).collect()}
+    assert got.keys() == want and all(np.isclose(b, responses[0][t][i - 1], atol=1e-9) for (i, t), b in got.items())
