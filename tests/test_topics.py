@@ -264,3 +264,13 @@ def test_best_terms_of_a_settled_fit(spark, told, responses):
         want |= {(i + 1, t) for t, b in beta.items() if b >= least}
     got = {(r.topic, r.term): r.beta for r in catalog.queries()["fit_lda"](spark, told[0]).collect()}
     assert got.keys() == want and all(np.isclose(b, responses[0][t][i - 1], atol=1e-9) for (i, t), b in got.items())
+
+
+def test_histogram_of_a_settled_fit(spark, told, responses):
+    gamma = [(i + 1, round(s[i], 9)) for s in responses[1].values() for i in range(2)]
+    low, high = min(g for _, g in gamma), max(g for _, g in gamma)
+    want = {(i, b): 0 for i in (1, 2) for b in range(30)}
+    for i, g in gamma:
+        want[i, math.ceil((g - low) / ((high - low) / 29) - 0.5)] += 1
+    got = {(r.topic, r.bin): r.n for r in catalog.queries()["gamma_histogram"](spark, told[0]).collect()}
+    assert got == want
