@@ -274,3 +274,11 @@ def test_histogram_of_a_settled_fit(spark, told, responses):
         want[i, math.ceil((g - low) / ((high - low) / 29) - 0.5)] += 1
     got = {(r.topic, r.bin): r.n for r in catalog.queries()["gamma_histogram"](spark, told[0]).collect()}
     assert got == want
+
+
+def test_weights_of_a_settled_fit(spark, told):
+    weight, _, history = plain_fit(words_by(told[1], 1), 4)
+    assert len(history) > 10
+    got = {(r.topic, r.term): r.beta for r in catalog.queries()["topic_terms_beta"](spark, told[0]).collect()}
+    assert got.keys() == {(i, t) for t in weight for i in range(1, 5)}
+    assert all(np.isclose(got[i + 1, t], w[i], atol=1e-8) for t, w in weight.items() for i in range(4))
